@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, url_filter
+from . import ann, exact_topk, line_dedup, mixing, packing, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_exact_topk": exact_topk.op3_exact_topk,
+    "op9_nearest": ann.op9_nearest,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_exact_topk": exact_topk.OP3_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
 }
