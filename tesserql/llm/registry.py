@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, exact_topk, line_dedup, mixing, packing, quality, url_filter
+from . import ann, exact_topk, line_dedup, mixing, near_dedup, packing, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_exact_topk": exact_topk.op3_exact_topk,
     "op4_quality": quality.op4_quality,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_nearest": ann.op9_nearest,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
