@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import int64s, partitions, raw_texts, stage, table
+from .common import int64s, partitions, raw_texts, stage, table, unstage
 from .components import components
 from .shingles import MinMax, common, shingle_set
 
@@ -181,6 +181,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     more = met.where("key IS NULL").select("hub", "node").join(tied.select(F.col("hub").alias("first"), F.col("node").alias("hub")), "hub").select(F.col("first").alias("hub"), "node")
     pairs = pairs.union(more).distinct()
     pairs = stage(pairs.union(pairs.select("hub", F.col("hub").alias("node")).distinct()).distinct(), "pairs")
+    unstage(met)
     sized = pairs.join(signed.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
     groups = sized.groupBy("hub").agg(F.sum("n").alias("total"))
     cut = groups.select("hub", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
@@ -194,8 +195,10 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     hubs = hubs.where("`to` <> block").select("hub", F.col("to").alias("block"), "node", F.col("node").alias("comp"), F.lit(None).cast("int").alias("side"), "text")
     cells = cells.union(hubs).repartition(n, "hub", "block").sortWithinPartitions("hub", "block", "node")
     first = stage(cells.mapInArrow(_within(width, percent, ("hub", "block")), "a long, b long"), "links")
+    unstage(pairs)
     large = rows.where("blocks > 1")
     if large.isEmpty():
+        unstage(rows)
         return first
     # Across the blocks of large groups: members outside the largest component of a group, with all members.
     roots = components(first)
@@ -211,7 +214,9 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     left = left.select("hub", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "comp", F.lit(0).alias("side"), "text")
     right = large.join(sizes, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "comp", F.lit(1).alias("side"), "text")
     cells = left.union(right.select(left.columns)).repartition(n, "hub", "part", "block").sortWithinPartitions("hub", "part", "block", "side", "node")
-    return first.union(stage(cells.mapInArrow(_within(width, percent, ("hub", "part", "block")), "a long, b long"), "links"))
+    across = stage(cells.mapInArrow(_within(width, percent, ("hub", "part", "block")), "a long, b long"), "links")
+    unstage(held, counts)
+    return first.union(across)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
