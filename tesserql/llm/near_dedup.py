@@ -203,7 +203,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     # Across the blocks of large groups: members outside the largest component of a group, with all members.
     roots = components(first)
     large = large.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("hub", "blocks", "block", "node", F.coalesce("root", "node").alias("comp"), "text")
-    large = stage(large, "large")
+    large = held = stage(large, "large")
+    unstage(rows)
     main = large.groupBy("hub", "comp").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
     large = large.join(main, "hub")
     others = large.where("comp <> main")
