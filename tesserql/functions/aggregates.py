@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def var_samp(x: Value) -> Column:
 
 def bit_and(x: Value) -> Column:
     """All 64 bits for an empty group."""
-    return F.coalesce(unsigned(F.bit_and(col(x).cast("long"))), F.lit(ALL_BITS).cast(U64))
+    return F.coalesce(unsigned(F.bit_and(col(x).cast("long"))), F.lit(Decimal(ALL_BITS)).cast(U64))
 
 
 def bit_or(x: Value) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,7 +183,7 @@ def neg(a: Value) -> Column:
 def unsigned(x: Value) -> Column:
     """A 64-bit integer as MySQL's unsigned value."""
     x = col(x).cast(U64)
-    return F.when(x < 0, x + F.lit(UNSIGNED).cast("decimal(20,0)")).otherwise(x).cast(U64)
+    return F.when(x < 0, x + F.lit(Decimal(UNSIGNED))).otherwise(x).cast(U64)
 
 
 def bit_and(a: Value, b: Value) -> Column:

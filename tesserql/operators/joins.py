@@ -11,7 +11,7 @@ BROADCAST_BYTES = 64 << 20
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -125,9 +126,9 @@ def sliced_text(s: str, start: int, end: int) -> str:
 def text_hash(s: Column) -> Column:
     """31 * h + code over characters, wrapped to 64 bits with sign, as decimal(20,0)."""
     codes = F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("decimal(38,0)"))
-    wrap = F.lit(WRAP).cast("decimal(38,0)")
+    wrap = F.lit(Decimal(WRAP)).cast("decimal(38,0)")
     h = F.aggregate(codes, F.lit(0).cast("decimal(38,0)"), lambda h, x: ((h.cast("decimal(24,0)") * F.lit(31).cast("decimal(4,0)") + x.cast("decimal(9,0)")) % wrap).cast("decimal(38,0)"))
-    return F.when(h >= F.lit(WRAP >> 1).cast("decimal(38,0)"), h - wrap).otherwise(h).cast("decimal(20,0)")
+    return F.when(h >= F.lit(Decimal(WRAP >> 1)).cast("decimal(38,0)"), h - wrap).otherwise(h).cast("decimal(20,0)")
 
 
 def hash_of(s: str) -> int:
