@@ -10,7 +10,7 @@ exactly with integers.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; a vector meets only vectors of
 its own length; of rows with one vec_id the largest vector counts, so repeated rows count once; rows without vec_id take no part; scores
-outside 64 bits end at its limits; an empty table gives an empty result; further columns are ignored.
+outside 64 bits count as its limits; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ EVERY = 50
 FEW = 64
 #: Bounds aren't looked at while more than this part of the largest norm is unprocessed.
 LOOSE = 0.25
+LIMIT = 2**63 - 1
 
 
 def integers(v: np.ndarray) -> np.ndarray:
@@ -63,7 +64,7 @@ class Cell:
     def __init__(self, queries: dict[str, np.ndarray]):
         self.ids, self.raw = queries["ids"], queries["v"]
         self.q = integers(self.raw)
-        self.kept = Best(len(self.ids), K, object)
+        self.kept = Best(len(self.ids), K, np.int64)
         self.floats = self.q.astype(float)
         self.norm = np.sqrt((self.floats**2).sum(axis=1))
 
@@ -71,7 +72,8 @@ class Cell:
         if "raw" in block or self.q.dtype == object or np.abs(self.q).max(initial=0) >= 2**24:
             v = integers(block["raw"]).astype(object) if "raw" in block else block["v"].astype(object)
             for i, q in enumerate(self.q.astype(object)):
-                self.kept.offer(i, self.ids[i], block, np.arange(len(v)), (v * q).sum(axis=1))
+                exact = [max(-LIMIT, min(LIMIT, int(x))) for x in (v * q).sum(axis=1)]
+                self.kept.offer(i, self.ids[i], block, np.arange(len(v)), np.array(exact, dtype=np.int64))
             return
         v = block["v"].astype(np.int64)
         n, dim = v.shape
@@ -101,8 +103,7 @@ class Cell:
             self.kept.offer(i, self.ids[i], block, column[ends[i] : ends[i + 1]], scores[ends[i] : ends[i + 1]])
 
     def best(self) -> tuple[list, list]:
-        limit = 2**63 - 1
-        return [x.tolist() for x in self.kept.ids], [[max(-limit, min(limit, int(s))) for s in x] for x in self.kept.scores]
+        return [x.tolist() for x in self.kept.ids], [x.tolist() for x in self.kept.scores]
 
 
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
