@@ -2,7 +2,7 @@
 
 Lengths are counted, not listed: the plan is made from a histogram of at most CAPACITY lengths, whatever the
 number of documents. From the longest length down, the gap that it leaves is looked up in an index of
-available single lengths, then of pair sums, then of triple sums; a combination that fills the gap exactly is
+available single lengths, then of pair sums, then of triple sums (see `plan` for how far); a combination that fills the gap exactly is
 consumed as often as its counts allow. What is left goes by best fit, longest first, into the smallest gap
 that takes it. Each row of the plan (a pattern of lengths and how many sequences have it) turns into ranges of
 ranks within a length, and each piece finds its sequence and offset by its rank; ranks come from counts per
@@ -103,13 +103,22 @@ def _cut(vocabulary: str, capacity: int):
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences): exact complements first, then best fit of what is left."""
+    """(lengths, number of sequences): exact complements first, then best fit of what is left.
+
+    Complements of up to three lengths spend small lengths that best fit could use better, or not, as the counts have it: of the plans whose index holds
+    single lengths, also pairs, and also triples, the one with the fewest sequences is taken.
+    """
+    plans = [_plan(counts, capacity, depth) for depth in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(m for _, m in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in counts.items():
         have[n] = c
     out: list[tuple[tuple[int, ...], int]] = []
     for large in range(capacity, 0, -1):
-        while have[large] and (found := complement(have, large, capacity - large)):
+        while have[large] and (found := complement(have, large, capacity - large, depth)):
             need = Counter(found)
             m = min(int(have[n]) // k for n, k in need.items())
             out.append((tuple(sorted(found, reverse=True)), m))
@@ -118,20 +127,22 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return out + best_fit({n: int(c) for n, c in enumerate(have) if c}, capacity)
 
 
-def complement(have: np.ndarray, large: int, gap: int) -> tuple[int, ...] | None:
-    """`large` and one, two or three lengths that fill its gap exactly, the longest first; None where the counts allow none."""
+def complement(have: np.ndarray, large: int, gap: int, depth: int = 3) -> tuple[int, ...] | None:
+    """`large` and at most `depth` lengths that fill its gap exactly, the longest first; None where the counts allow none."""
     if not gap:
         return (large,)
     ok = lambda lengths: all(have[n] >= k for n, k in Counter(lengths).items())
     if gap < len(have) and have[gap] and ok((large, gap)):
         return large, gap
+    if depth < 2:
+        return None
     there = have > 0
     # Pair sums: b and gap - b, both available.
     for b in np.flatnonzero(there[1:gap] & there[gap - 1 : 0 : -1])[::-1] + 1:
         if 2 * b >= gap and ok((large, int(b), gap - int(b))):
             return large, int(b), gap - int(b)
     # Triple sums: c, then the pair sums of what is left.
-    for c in np.flatnonzero(there[1:gap])[::-1] + 1:
+    for c in np.flatnonzero(there[1:gap])[::-1] + 1 if depth > 2 else ():
         rest = gap - int(c)
         if rest < 2:
             continue
