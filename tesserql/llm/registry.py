@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_exact_topk": exact_topk.OP3_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
 }
