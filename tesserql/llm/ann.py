@@ -102,11 +102,11 @@ def encode_block(quantisers: dict[int, np.ndarray], etas: dict[int, float]):
     return build
 
 
-def cell_of(quantisers: dict[int, np.ndarray]):
+def cell_of(quantisers: dict[int, np.ndarray], k: int = K):
     class Cell:
         def __init__(self, queries: dict[str, np.ndarray]):
             self.ids, self.v = queries["ids"], queries["v"]
-            self.kept = Best(len(self.ids), K, float)
+            self.kept = Best(len(self.ids), k, float)
             centres = quantisers[self.v.shape[1]]
             tables = np.einsum("qmd,mkd->mkq", Quantiser.split(self.v), centres).astype(np.float32)
             # Two codes of four bits a byte: the sum of their entries, for all queries.
@@ -131,8 +131,8 @@ def cell_of(quantisers: dict[int, np.ndarray]):
     return Cell
 
 
-def search(vectors: DataFrame, is_query) -> DataFrame:
-    """query_id, rank, vec_id, score: the K nearest found of each query by inner product, ties to the smaller vec_id."""
+def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query by inner product, ties to the smaller vec_id."""
     rows = stage(taking_part(vectors).where(F.exists("embedding", lambda x: x != 0)), "vectors")
     asked = rows.where(is_query)
     n, m = rows.count(), asked.count()
@@ -142,7 +142,7 @@ def search(vectors: DataFrame, is_query) -> DataFrame:
         own = Quantiser.fit(np.concatenate([c.flatten().to_numpy() for c in sample.chunks]).reshape(-1, dim))
         quantisers[dim], etas[dim] = own.centres, own.eta
     index = stage(blocks(rows, n, BLOCK_ROWS, encode_block(quantisers, etas)), "codes")
-    return grid(blocks(asked, m, QUERY_ROWS, plain), m, index, n, K, cell_of(quantisers), "double")
+    return grid(blocks(asked, m, QUERY_ROWS, plain), m, index, n, k, cell_of(quantisers, k), "double")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

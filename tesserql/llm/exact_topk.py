@@ -15,6 +15,8 @@ outside 64 bits count as its limits; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +63,10 @@ def build_index(ids: np.ndarray, vectors: np.ndarray) -> list[bytes]:
 class Cell:
     """A block of queries and its best members so far."""
 
-    def __init__(self, queries: dict[str, np.ndarray]):
+    def __init__(self, queries: dict[str, np.ndarray], k: int = K):
         self.ids, self.raw = queries["ids"], queries["v"]
         self.q = integers(self.raw)
-        self.kept = Best(len(self.ids), K, np.int64)
+        self.k, self.kept = k, Best(len(self.ids), k, np.int64)
         self.floats = self.q.astype(float)
         self.norm = np.sqrt((self.floats**2).sum(axis=1))
 
@@ -79,7 +81,7 @@ class Cell:
         n, dim = v.shape
         sums = np.zeros((len(self.q), n))
         # One vector more than k, as one may be the query's own.
-        proven, few = self.kept.threshold(), K + 1
+        proven, few = self.kept.threshold(), self.k + 1
         for x, end in enumerate(block["ends"]):
             start = block["ends"][x - 1] if x else 0
             segment = np.zeros(n * dim)
@@ -108,12 +110,11 @@ class Cell:
 
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest integer inner product of each query, ties to the smaller vec_id."""
-    assert k == K
     rows = stage(taking_part(vectors), "vectors")
     asked = rows.where(is_query)
     n, m = rows.count(), asked.count()
     index = stage(blocks(rows, n, BLOCK_ROWS, build_index), "impacts")
-    return grid(blocks(asked, m, QUERY_ROWS, plain), m, index, n, k, Cell, "long")
+    return grid(blocks(asked, m, QUERY_ROWS, plain), m, index, n, k, partial(Cell, k=k), "long")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
