@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,6 +24,44 @@ def split_load(df: DataFrame, column: str, function: ShardFunction, path: str, f
     df.withColumn("shard_id", function.shard(F.col(column))).write.partitionBy("shard_id").option("sep", field).option("nullValue", "\\N").csv(path)
 
 
+INSERT = re.compile(r"(?is)^\s*(?:INSERT|REPLACE)\s+(?:INTO\s+)?`?(\w+)`?\s*(?:\([^)]*\)\s*)?VALUES\s*(.*)$")
+FIELD = re.compile(r"\s*('(?:[^'\\]|\\.|'')*'|[^,()']+)\s*([,)])", re.S)
+
+
+def values_of(statement: str) -> tuple[str, list[list[str | None]]] | None:
+    """The table and the rows of an INSERT ... VALUES; NULL is None, other fields are the texts they stand for."""
+    m = INSERT.match(statement)
+    if not m:
+        return None
+    rows, body, at = [], m[2], 0
+    while (at := body.find("(", at)) >= 0:
+        row, at = [], at + 1
+        while f := FIELD.match(body, at):
+            raw, at = f[1].strip(), f.end()
+            quoted = raw.startswith("'")
+            row.append(re.sub(r"\\(.)", r"\1", raw[1:-1].replace("''", "'")) if quoted else None if raw.upper() == "NULL" else raw)
+            if f[2] == ")":
+                break
+        rows.append(row)
+    return m[1], rows
+
+
+def split_dump(spark: SparkSession, path: str) -> DataFrame:
+    """table_name, fields of every row that a dump's INSERT statements hold; statements end with a semicolon at a line's end. `split_load` writes them by shard."""
+
+    @F.udtf(returnType="table_name string, fields array<string>")
+    class Rows:
+        def eval(self, statement: str):
+            if found := values_of(statement):
+                for row in found[1]:
+                    yield found[0], row
+
+    spark.udtf.register("tesserql_rows", Rows)
+    lines = spark.read.option("lineSep", ";\n").text(path)
+    lines.createOrReplaceTempView("tesserql_dump")
+    return spark.sql("SELECT r.table_name, r.fields FROM tesserql_dump, LATERAL tesserql_rows(value) r")
+
+
 def jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """A backend table, read in ranges of a column."""
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
@@ -40,6 +80,6 @@ def sequence(df: DataFrame, name: str, order: list[str], start: int = 1) -> Data
 
 def time_sequence(instance: int = 0):
     """Unique rising ids: high bits of the milliseconds, 10 bits of the instance, 12 of a counter, low 12 bits of the milliseconds."""
-    ms = F.unix_millis(F.current_timestamp())
     nth = F.monotonically_increasing_id()
+    ms = F.unix_millis(F.current_timestamp()) + F.call_function("div", nth, F.lit(4096))  # the clock stands still in a query; the counter moves it on
     return F.shiftleft(F.shiftright(ms, 12), 34) + F.lit((instance & 1023) << 24) + F.shiftleft(F.pmod(nth, F.lit(4096)), 12) + F.pmod(ms, F.lit(4096))

@@ -104,3 +104,29 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("seen").collect())) == sorted(map(tuple, statements.windows(events).collect()))
+
+
+def test_split_dump(spark, tmp_path):
+    path = tmp_path / "dump.sql"
+    path.write_text("CREATE TABLE a (k int);\nINSERT INTO `a` VALUES (1,'x, (y)',NULL),(2,'it''s; \\'q\\'',-3.5);\nINSERT INTO b (k) VALUES (7);\n")
+    got = sorted((r.table_name, list(r.fields)) for r in files.split_dump(spark, str(path)).collect())
+    assert got == [("a", ["1", "x, (y)", None]), ("a", ["2", "it's; 'q'", "-3.5"]), ("b", ["7"])]
+
+
+def test_split_load(spark, tmp_path):
+    from tesserql.plans import sharding as S
+
+    files.split_load(spark.range(20), "id", S.Hash([2], [1]), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["shard_id=0", "shard_id=1"]
+    assert spark.read.csv(str(tmp_path / "out")).where("shard_id = 1").count() == 10
+
+
+def test_global_sequence_bits(spark):
+    ids = [r.i for r in spark.range(500).coalesce(1).select(files.time_sequence(5).alias("i")).collect()]
+    assert len(set(ids)) == 500 and all(i >> 24 & 1023 == 5 for i in ids)
+
+
+def test_crc32(spark):
+    from tesserql.functions import maths as M
+
+    assert spark.range(1).select(M.crc32("MySQL")).first()[0] == 3259397556
