@@ -9,7 +9,6 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -124,11 +123,15 @@ def sliced_text(s: str, start: int, end: int) -> str:
 
 
 def text_hash(s: Column) -> Column:
-    """31 * h + code over characters, wrapped to 64 bits with sign, as decimal(20,0)."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("decimal(38,0)"))
-    wrap = F.lit(Decimal(WRAP)).cast("decimal(38,0)")
-    h = F.aggregate(codes, F.lit(0).cast("decimal(38,0)"), lambda h, x: ((h.cast("decimal(24,0)") * F.lit(31).cast("decimal(4,0)") + x.cast("decimal(9,0)")) % wrap).cast("decimal(38,0)"))
-    return F.when(h >= F.lit(Decimal(WRAP >> 1)).cast("decimal(38,0)"), h - wrap).otherwise(h).cast("decimal(20,0)")
+    """31 * h + code over characters, wrapped to 64 bits with sign: in halves of 32 bits, which can't overflow."""
+    low = F.lit((1 << 32) - 1).cast("long")
+
+    def step(h: Column, ch: Column) -> Column:
+        right = h.bitwiseAND(low) * 31 + F.ascii(ch).cast("long")
+        left = (F.shiftrightunsigned(h, 32) * 31 + F.shiftright(right, 32)).bitwiseAND(low)
+        return F.shiftleft(left, 32).bitwiseOR(right.bitwiseAND(low))
+
+    return F.aggregate(F.filter(F.split(s, ""), lambda ch: ch != ""), F.lit(0).cast("long"), step)
 
 
 def hash_of(s: str) -> int:
@@ -152,8 +155,7 @@ class StringHash(ShardFunction):
         self.table = segments(self.counts, self.lengths)
 
     def shard(self, c: Column) -> Column:
-        slots = F.lit(len(self.table)).cast("decimal(20,0)")
-        slot = F.pmod(text_hash(sliced(c.cast("string"), self.start, self.end)), slots).cast("long")
+        slot = F.pmod(text_hash(sliced(c.cast("string"), self.start, self.end)), F.lit(len(self.table)).cast("long"))
         return F.when(c.isNull(), F.lit(0)).otherwise(slot_to_shard(slot, self.table))
 
     def of(self, value) -> int | None:
@@ -261,7 +263,7 @@ class JumpHash(ShardFunction):
             known = keys.fillna(0).map(int)
             return pd.Series(jump_buckets(np.array([k % WRAP for k in known], dtype=np.uint64), buckets)).astype("int32")
 
-        return F.when(c.isNull(), F.lit(0)).otherwise(jump(text_hash(sliced(c.cast("string"), self.start, self.end)).cast("long")))
+        return F.when(c.isNull(), F.lit(0)).otherwise(jump(text_hash(sliced(c.cast("string"), self.start, self.end))))
 
     def of(self, value) -> int | None:
         key = hash_of(sliced_text(str(value), self.start, self.end)) if value is not None else None

@@ -52,3 +52,9 @@ def test_condition_units():
     assert S.conjunction({1, 2}, None, {2, 3}) == {2}
     assert S.disjunction({1}, {2}) == {1, 2}
     assert S.disjunction({1}, None) is None
+
+
+def test_text_hash_wraps(spark):
+    texts = ["", "a", "Customer#000000001", "z" * 40, "\u00e9t\u00e9 \u6f22\u5b57", "0123456789" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.text_hash(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] for r in rows} == {t: S.hash_of(t) for t in texts}
