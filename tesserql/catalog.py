@@ -56,6 +56,34 @@ class Catalog:
         rows = [(n, i, f.name, f.dataType.simpleString(), f.nullable) for n in names for i, f in enumerate(self.table(n).schema)]
         return self.spark.createDataFrame(rows, "table_name string, position int, column_name string, type string, nullable boolean")
 
+    def create_view(self, name: str, df: DataFrame, replace: bool = True) -> None:
+        """CREATE [OR REPLACE] VIEW: the plan is kept and inlined where the view is read."""
+        (df.createOrReplaceTempView if replace else df.createTempView)(name)
+
+    def drop_view(self, name: str) -> bool:
+        return self.spark.catalog.dropTempView(name)
+
+    def create_table(self, name: str, schema: str) -> DataFrame:
+        """CREATE TABLE: an empty table of that schema, as a view."""
+        df = self.spark.createDataFrame([], schema)
+        df.createOrReplaceTempView(name)
+        return df
+
+    def truncate(self, name: str) -> DataFrame:
+        """TRUNCATE TABLE of a view's table."""
+        df = self.spark.table(name).limit(0)
+        df.createOrReplaceTempView(name)
+        return df
+
+    def alter(self, name: str, add: dict[str, str] | None = None, drop: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
+        """ALTER TABLE: new columns are NULL."""
+        df = self.spark.table(name)
+        for column, kind in (add or {}).items():
+            df = df.withColumn(column, F.lit(None).cast(kind))
+        df = df.drop(*drop).withColumnsRenamed(rename or {})
+        df.createOrReplaceTempView(name)
+        return df
+
     def variables(self, like: str = "spark.sql.%") -> DataFrame:
         """The system table of session variables."""
         return self.spark.sql("SET -v").select(F.col("key").alias("variable_name"), F.col("value").alias("variable_value")).where(F.col("key").like(like))

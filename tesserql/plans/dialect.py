@@ -253,10 +253,30 @@ def rewrite(ts: list) -> list:
     return out
 
 
-def translate(sql: str) -> str:
-    return text(rewrite(tokens(sql)))
+def substituted(ts: list, variables: dict) -> list:
+    """@name and @@name as literals; a variable that isn't set is NULL."""
+    out, i = [], 0
+    while i < len(ts):
+        t = ts[i]
+        if isinstance(t, list):
+            out.append(substituted(t, variables))
+        elif t == "@" and i + 1 < len(ts):
+            i += 2 if ts[i + 1] == "@" and i + 2 < len(ts) else 1
+            if i + 1 < len(ts) and ts[i + 1] == ":=":
+                raise Unsupported("assignment to variables")
+            value = variables.get(ts[i])
+            out.append("NULL" if value is None else quoted(value) if isinstance(value, str) else str(value))
+        else:
+            out.append(t)
+        i += 1
+    return out
+
+
+def translate(sql: str, variables: dict | None = None) -> str:
+    return text(rewrite(substituted(tokens(sql), variables or {})))
 
 
-def run(spark: SparkSession, sql: str, **parameters) -> DataFrame:
-    """A statement, with named parameters (:name) if it is prepared."""
-    return spark.sql(translate(sql), args=parameters) if parameters else spark.sql(translate(sql))
+def run(spark: SparkSession, sql: str, variables: dict | None = None, **parameters) -> DataFrame:
+    """A statement, with user and system variables, and named parameters (:name) if it is prepared."""
+    made = translate(sql, variables)
+    return spark.sql(made, args=parameters) if parameters else spark.sql(made)

@@ -18,6 +18,11 @@ def test_translation(mysql, spark_sql):
     assert dialect.translate(mysql) == spark_sql
 
 
+def test_variables():
+    assert dialect.translate("SELECT @a, @@b, (@s) FROM t", {"a": 7, "b": 1.5, "s": "it's"}) == "SELECT 7, 1.5, ('it\\'s') FROM t"
+    assert dialect.translate("SELECT @none") == "SELECT NULL"
+
+
 @pytest.mark.parametrize("sql", ["SELECT @a := 1", "SELECT a INTO @x FROM t", "SELECT a FROM t GROUP BY a WITH ROLLUP", "SELECT (1", "SELECT 1)", "SELECT a FROM t WHERE a = ALL (SELECT 1)"])
 def test_refused(sql):
     with pytest.raises(dialect.Unsupported):

@@ -130,3 +130,18 @@ def test_crc32(spark):
     from tesserql.functions import maths as M
 
     assert spark.range(1).select(M.crc32("MySQL")).first()[0] == 3259397556
+
+
+def test_catalog(spark, sf_dir):
+    from tesserql.catalog import Catalog, TableConfig
+    from tesserql.plans import sharding as S
+
+    c = Catalog(spark, sf_dir, [TableConfig("orders", "sharding", "o_orderkey", S.Hash([4], [1])), TableConfig("lineitem", "child", "l_orderkey", None, "orders", "o_orderkey"), TableConfig("nation", "global", max_rows=3)])
+    assert c.co_located("orders", "lineitem") and not c.co_located("orders", "nation")
+    assert c.table("nation").count() == 3
+    assert {r.name: r.kind for r in c.describe().collect()} == {"orders": "sharding", "lineitem": "child", "nation": "global"}
+    assert c.variables().count() > 10
+    c.create_table("made", "k int, v string")
+    assert c.alter("made", add={"w": "long"}, drop=["v"], rename={"k": "id"}).dtypes == [("id", "int"), ("w", "bigint")]
+    c.create_view("some", c.table("region"))
+    assert c.truncate("some").count() == 0 and c.drop_view("some")
