@@ -187,7 +187,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     cut = groups.select("hub", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     placed = pairs.join(cut, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     nodes = pairs.select(F.col("node").alias("_n")).distinct()
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_d"), "text").join(nodes, F.col("_d") == F.col("_n"), "left_semi")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_d"), "text").join(nodes.hint("shuffle_hash"), F.col("_d") == F.col("_n"), "left_semi")
     rows = stage(placed.join(texts, F.col("node") == F.col("_d")).select("hub", "blocks", "block", "node", "text"), "members")
     cells = rows.select("hub", "block", "node", F.col("node").alias("comp"), F.lit(None).cast("int").alias("side"), "text")
     # The hub stands in each block of its group.
