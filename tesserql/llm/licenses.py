@@ -134,7 +134,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"].to_pylist(), raw_texts(b["text"]), strict=True):
-                if text and any(h in low for low in (text.lower(),) for h in HINTS):
+                low = (text or b"").lower()
+                if any(h in low for h in HINTS):
                     rows += [(doc, *f) for f in scan(text.decode("utf-8", "replace"))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, batch, int64s, nullable, partitions, raw_texts, stage, table, unstage
+from .common import SPACES, batch, int64s, nullable, partitions, raw_texts, stage, table
 
 MIN_DOCUMENTS = 10
 
