@@ -162,7 +162,8 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within_documents: bo
     # Null ids come first in rank, as in the sort.
     rank = F.min(F.struct("first_doc", "first_tx", "first_k"))
     firsts = found.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(rank.alias("f"))
-    late = found.where(F.col("kind") == OPEN).drop("first_doc", "first_tx", "first_k").join(firsts, ["h1", "h2"])
+    # Two rows a partition at most, so that a hot digest's rows stay where they are.
+    late = found.where(F.col("kind") == OPEN).drop("first_doc", "first_tx", "first_k").join(F.broadcast(firsts), ["h1", "h2"])
     same = F.col("doc_id").eqNullSafe(F.col("f.first_doc")) & (F.col("tx") == F.col("f.first_tx")) & (F.col("k") == F.col("f.first_k"))
     columns = ["doc_id", "tx", "k", "words", "start", "end"]
     late = late.where(~same).select(*columns, F.col("f.first_doc").alias("first_doc"))
