@@ -202,6 +202,54 @@ def quantifier(op: str, which: str, inner: list) -> list:
     return [op, [f"SELECT {value} FROM ({text(inner)}) AS _q(_v)"]]
 
 
+KEYWORDS = frozenset("SELECT WHERE AND OR NOT IN ON WHEN THEN ELSE CASE HAVING BY AS FROM BETWEEN LIKE IS DISTINCT ALL UNION RETURN LIMIT OFFSET DIV MOD XOR".split())
+WHOLE = r"'^\\s*([-+]?[0-9]+)'"
+
+
+def cast(value: str, kind: list) -> str:
+    """CAST(value AS kind): MySQL's lenient conversions."""
+    name, size = word(kind[0]), f"({text(kind[1])})" if len(kind) > 1 and isinstance(kind[1], list) else ""
+    s = f"cast({value} AS string)"
+    if name in ("SIGNED", "UNSIGNED"):
+        whole = f"CASE WHEN {value} IS NOT NULL THEN coalesce(try_cast(round(try_cast({s} AS decimal(38,10)), 0) AS bigint), try_cast(regexp_extract({s}, {WHOLE}, 1) AS bigint), 0) END"
+        return whole if name == "SIGNED" else f"CASE WHEN ({whole}) < 0 THEN cast({whole} AS decimal(20,0)) + 18446744073709551616 ELSE cast({whole} AS decimal(20,0)) END"
+    if name in ("CHAR", "NCHAR"):
+        return f"left({s}, {size[1:-1]})" if size else s
+    if name == "BINARY":
+        return f"encode({f'left({s}, {size[1:-1]})' if size else s}, 'UTF-8')"
+    if name == "DATETIME":
+        return f"try_cast({value} AS timestamp_ntz)"
+    if name == "DECIMAL":
+        return f"try_cast({value} AS decimal{size or '(10,0)'})"
+    if name in ("DATE", "DOUBLE", "FLOAT", "JSON"):
+        return s if name == "JSON" else f"try_cast({value} AS {name.lower()})"
+    raise Unsupported(f"CAST AS {name}")
+
+
+def left_side(out: list) -> str:
+    """Takes the last operand: a literal, a name with its qualifiers, a call or what stands in parentheses."""
+    expr = [out.pop()]
+    if isinstance(expr[0], list) and out and isinstance(out[-1], str) and re.match(r"[A-Za-z_`]", out[-1]) and word(out[-1]) not in KEYWORDS:
+        expr.insert(0, out.pop())
+    while len(out) > 1 and out[-1] == ".":
+        expr[:0] = [out[-2], out[-1]]
+        del out[-2:]
+    return text(expr)
+
+
+def right_side(ts: list, i: int) -> tuple[str, int]:
+    """The operand that starts at i, rewritten, and the place after it."""
+    end = i
+    while end < len(ts) and ts[end] in ("-", "+"):
+        end += 1
+    end += 1
+    while end < len(ts) and (ts[end] == "." or ts[end - 1] == "." or isinstance(ts[end], list) and isinstance(ts[end - 1], str) and re.match(r"[A-Za-z_`]", ts[end - 1])):
+        end += 1
+    if end > len(ts):
+        raise Unsupported("an operator without its right side")
+    return text(rewrite(ts[i:end])), end
+
+
 def rewrite(ts: list) -> list:
     """One level of tokens, after the levels below it."""
     ts = [rewrite(t) if isinstance(t, list) else t for t in ts]
@@ -214,7 +262,25 @@ def rewrite(ts: list) -> list:
             raise Unsupported("assignment to variables")
         if w == "INTO" and any(word(x) == "SELECT" for x in ts[:i]) and not any(word(x) in ("INSERT", "REPLACE") for x in ts[:i]):
             raise Unsupported("SELECT ... INTO")
-        if t in ("||", "&&"):
+        if (t in ("/", "%") or w in ("DIV", "MOD") and not (w == "MOD" and isinstance(after, list) and (not out or word(out[-1]) in KEYWORDS or out[-1] in (",", "+", "-", "*", "=", "<", ">", "<=", ">=", "<>")))) and out:
+            # NULL for a zero divisor.
+            a = left_side(out)
+            b, end = right_side(ts, i + 1)
+            out.append(f"try_divide({a}, {b})" if t == "/" else f"CASE WHEN {b} <> 0 THEN {a} div {b} END" if w == "DIV" else f"try_mod({a}, {b})")
+            i = end - 1
+        elif w == "CAST" and isinstance(after, list) and any(word(x) == "AS" for x in after):
+            at = max(k for k, x in enumerate(after) if word(x) == "AS")
+            out.append(cast(text(after[:at]), after[at + 1 :]))
+            i += 1
+        elif w == "CONVERT" and isinstance(after, list):
+            parts = split(after)
+            if any(word(x) == "USING" for x in after):
+                at = next(k for k, x in enumerate(after) if word(x) == "USING")
+                out.append(f"decode(encode({text(after[:at])}, 'UTF-8'), 'UTF-8')")
+            else:
+                out.append(cast(text(parts[0]), parts[1]))
+            i += 1
+        elif t in ("||", "&&"):
             out.append("OR" if t == "||" else "AND")
         elif t == "!":
             out.append("NOT")

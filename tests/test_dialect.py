@@ -18,6 +18,19 @@ def test_translation(mysql, spark_sql):
     assert dialect.translate(mysql) == spark_sql
 
 
+@pytest.mark.parametrize(
+    "mysql, value",
+    [
+        ("7 / 2", 3.5), ("1 / 0", None), ("2 * 6 / 4", 3.0), ("7 % 0", None), ("-7 % 3", -1), ("7 DIV 2", 3), ("7 DIV 0", None), ("7 MOD 4", 3), ("MOD(7, 4) + 1", 4), ("abs(-8) / (1 + 1) / 2", 2.0),
+        ("CAST('12abc' AS SIGNED)", 12), ("CAST(' -3 x' AS SIGNED)", -3), ("CAST('x' AS SIGNED)", 0), ("CAST(NULL AS SIGNED)", None), ("CAST(-1 AS UNSIGNED)", 18446744073709551615), ("CONVERT('hello', CHAR(2))", "he"), ("CAST('x' AS DATE)", None),
+        ("CONVERT('a' USING utf8)", "a"), ("GREATEST(1, NULL)", None), ("SQRT(-1)", None), ("SUBSTRING('abc', 0)", ""), ("LPAD('hi', 4, '')", None), ("ELT(2, 'a', 'b')", "b"), ("FIELD('z', 'a')", 0), ("STD(1)", 0.0), ("'{\"a\": 3}'->>'$.a'", "3"),
+    ],
+)
+def test_values(spark, mysql, value):
+    got = dialect.run(spark, f"SELECT {mysql} AS v").first()[0]
+    assert got == value or value is not None and float(got) == value
+
+
 def test_variables():
     assert dialect.translate("SELECT @a, @@b, (@s) FROM t", {"a": 7, "b": 1.5, "s": "it's"}) == "SELECT 7, 1.5, ('it\\'s') FROM t"
     assert dialect.translate("SELECT @none") == "SELECT NULL"
