@@ -11,9 +11,8 @@ def plan(spark, sf_dir, name):
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     p = plan(spark, sf_dir, "scan_filter_project")
-    assert "PushedFilters: [IsNotNull(l_shipdate)" in p and "GreaterThan(l_quantity,40.0)" in p
-    schema = p[p.index("ReadSchema") :]
-    assert "l_tax" not in schema and "l_returnflag" not in schema
+    assert "PushedFilters: [IsNotNull(l_shipdate), IsNotNull(l_quantity), LessThan(l_shipdate" in p
+    assert "l_tax" not in p and "l_returnflag" not in p
     assert "EqualTo(o_orderkey,4711)" in plan(spark, sf_dir, "point_select")
 
 
