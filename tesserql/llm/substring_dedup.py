@@ -1,15 +1,19 @@
-"""Substring dedup by hashing of normalised units: the earliest occurrence of a passage stays, the others go.
-
-A text is cut into units, sentences within lines (long ones in pieces, short ones together); a unit is normalised (lower-cased, white space collapsed) and
-hashed when it has at least MIN_UNIT words. Digests are range-partitioned with (document, position) and sorted, so one pass over each partition meets a digest's
-occurrences in rank order: the first is kept, the others are reported with the document that keeps it. A digest that several partitions share is
-settled by the first rows of its parts, two a partition at most, so a hot unit never meets in one task. A document's reported units that follow
-one another (units too short to be hashed may lie between) form a run; runs of at least MIN_RUN words are
-removed and listed with their offsets in the original text. Units smaller than lines are needed because passages start and end inside lines.
-
-Defined results: a null or empty text has no units; a row is known by its doc_id (null counts as an id, the first in rank) together with its text, so exactly repeated
-rows are one document and keep or lose the same spans; a document's own repeats stay, unless `within_documents` is set; an empty table gives an empty result; further columns
-are ignored by `repeated_spans` and passed through by `remove_spans`.
+"""Substring dedup: the earliest occurrence of a passage stays, the others go.
+
+`repeated_passages` finds every word that lies in a window of MIN_RUN words which an earlier document has too, wherever the window begins: words are lower-cased and
+split at white space. Each window is marked by the least digest of its grams of half as many words; a mark depends on the window alone, so copies share it. Marks are
+range-partitioned and sorted; windows whose mark several documents have get 128-bit digests, which are range-partitioned with (document, position) and sorted, so one pass over
+each partition meets a digest's occurrences in rank order: the first is kept, the others are reported with the document that keeps it. A digest that several partitions share is
+settled by the first rows of its parts, two a partition at most, so a hot passage never meets in one task. Windows that overlap or touch are listed as one span, with
+its offsets in the original text.
+
+`repeated_spans` does the same with units instead of windows: sentences within lines (long ones in pieces, short ones together) of at least MIN_UNIT words. A document's reported
+units that follow one another (units too short to be hashed may lie between) form a run, removed from MIN_RUN words on. Its units depend on where the host's sentence begins,
+so it may miss passages that start or end inside sentences; the query doesn't use it.
+
+Defined results: a null or empty text has no windows or units; a row is known by its doc_id (null counts as an id, the first in rank) together with its text, so exactly repeated
+rows are one document and keep or lose the same spans; a document's own repeats stay (`repeated_spans`: unless `within_documents` is set); an empty table gives an empty result; further columns
+are ignored by both and passed through by `remove_spans`.
 """
 
 from __future__ import annotations
@@ -99,6 +103,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOUND = pa.schema([*UNITS, ("first_doc", pa.int64()), ("first_tx", pa.int64()), ("first_k", pa.int32()), ("kind", pa.int8())])
 FOUND_DDL = UNITS_DDL + ", first_doc long, first_tx long, first_k int, kind byte"
 LATER, OPEN, EDGE = 0, 1, 2
+SPANS_DDL = "doc_id long, tx long, start int, end int, words int, first_doc_ids array<long>"
+
+#: Of the digests of marks and, twice, of windows.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +159,9 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge()
 
 
-def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within_documents: bool = False) -> DataFrame:
-    """doc_id, tx, start, end, words, first_doc_ids (documents that keep the removed units) of every removed run."""
-    n = partitions(docs.sparkSession)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tx"))
-    units = stage(known.mapInArrow(_units, UNITS_DDL), "units")
+def _later_rows(units: DataFrame) -> DataFrame:
+    """doc_id, tx, k, words, start, end, first_doc of what isn't the first occurrence of its digest; deletes the staged units."""
+    n = partitions(units.sparkSession)
     ranked = units.repartitionByRange(n, "h1", "h2", "doc_id", "tx", "k").sortWithinPartitions("h1", "h2", "doc_id", "tx", "k")
     found = stage(ranked.mapInArrow(_later, FOUND_DDL), "found")
     unstage(units)
@@ -167,10 +173,158 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within_documents: bo
     same = F.col("doc_id").eqNullSafe(F.col("f.first_doc")) & (F.col("tx") == F.col("f.first_tx")) & (F.col("k") == F.col("f.first_k"))
     columns = ["doc_id", "tx", "k", "words", "start", "end"]
     late = late.where(~same).select(*columns, F.col("f.first_doc").alias("first_doc"))
-    rows = found.where(F.col("kind") == LATER).select(*columns, "first_doc").union(late)
+    return found.where(F.col("kind") == LATER).select(*columns, "first_doc").union(late)
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tx"))
+
+
+def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within_documents: bool = False) -> DataFrame:
+    """doc_id, tx, start, end, words, first_doc_ids (documents that keep the removed units) of every removed run of units."""
+    rows = _later_rows(stage(_known(docs).mapInArrow(_units, UNITS_DDL), "units"))
     # One row a document: as long as its own units. collect_set, as repeated rows report the same units.
     per = rows.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_set(F.struct("k", "words", "start", "end", "first_doc"))).alias("units"))
-    return per.mapInArrow(_runs(min_run, within_documents), "doc_id long, tx long, start int, end int, words int, first_doc_ids array<long>")
+    return per.mapInArrow(_runs(min_run, within_documents), SPANS_DDL)
+
+
+class _Digests(dict):
+    """64-bit digests of words, made once a word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return out
+
+
+_digests = _Digests()
+
+
+def grams(words: np.ndarray, size: int, by: int) -> np.ndarray:
+    """A digest of each `size` words that follow one another."""
+    n = max(len(words) - size + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(size):
+        out *= np.uint64(by)
+        out += words[j : j + n]
+    for by_shift in (0xD6E8FEB86659FD93, 0xCA5A826395121157):
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(by_shift)
+    return out ^ (out >> np.uint64(32))
+
+
+def window_marks(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the digests of the words; of each window of `least` words, the least digest of its grams of half as many)."""
+    words = np.fromiter(map(_digests.__getitem__, text.lower().split()), dtype=np.uint64)
+    half = max(least // 2, 1)
+    n = max(len(words) - least + 1, 0)
+    of = grams(words, half, MULTIPLIERS[0])
+    out = of[:n].copy()
+    for j in range(1, least - half + 1):
+        np.minimum(out, of[j : j + n], out=out)
+    return words, out.view(np.int64)
+
+
+def _marks(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, null, tx = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False), int64s(b["tx"])
+            own = [np.unique(window_marks((t or b"").decode("utf-8", "replace"), least)[1]) for t in raw_texts(b["text"])]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            h = np.concatenate(own) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), nullable(ids[at], null[at]), pa.array(tx[at])], names=["h", "doc_id", "tx"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by mark and document: the rows whose mark several documents have. What may go on in another batch stays, as later steps are exact."""
+    for b in batches:
+        if not len(b):
+            continue
+        h, doc, null = int64s(b["h"]), int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        ends = np.r_[starts[1:], len(b)] - 1
+        several = (doc[starts] != doc[ends]) | (null[starts] != null[ends])
+        several[0] = several[-1] = True
+        yield b.filter(pa.array(np.repeat(several, ends - starts + 1)))
+
+
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, null, tx = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False), int64s(b["tx"])
+            held, size = [], 0
+
+            def made() -> pa.RecordBatch:
+                h1, h2, k, start, end, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                words = np.full(len(k), least, dtype=np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), nullable(ids[at], null[at]), pa.array(tx[at]), *(pa.array(x, pa.int32()) for x in (k, words, start, end))], schema=UNITS)
+
+            for i, (raw, marks) in enumerate(zip(raw_texts(b["text"]), b["marks"], strict=True)):
+                text = (raw or b"").decode("utf-8", "replace")
+                words, own = window_marks(text, least)
+                k = np.flatnonzero(np.isin(own, marks.values.to_numpy()))
+                if not len(k):
+                    continue
+                places = np.array([m.span() for m in WORD.finditer(text)], dtype=np.int32)
+                h1, h2 = (grams(words, least, by)[k].view(np.int64) for by in MULTIPLIERS[1:])
+                held.append((h1, h2, k, places[k, 0], places[k + least - 1, 1], np.full(len(k), i)))
+                size += len(k)
+                if size > 200_000:
+                    yield made()
+                    held, size = [], 0
+            if held:
+                yield made()
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
+    """doc_id, tx, start, end, words, first_doc_ids of every passage whose windows of `least` words all occur in an earlier document, wherever they begin.
+
+    Exact: a window that two documents have gives both the same mark, so it is compared; windows whose mark one document has alone are left out before the digests move.
+    """
+    n = partitions(docs.sparkSession)
+    marks = stage(_known(docs).mapInArrow(_marks(least), "h long, doc_id long, tx long"), "marks")
+    ranked = marks.repartitionByRange(n, "h", "doc_id", "tx").sortWithinPartitions("h", "doc_id", "tx")
+    shared = ranked.mapInArrow(_shared, "h long, doc_id long, tx long")
+    per = shared.groupBy(F.col("doc_id").alias("_d"), F.col("tx").alias("_t")).agg(F.collect_set("h").alias("marks"))
+    known = _known(docs)
+    both = known.join(per.hint("shuffle_hash"), known["doc_id"].eqNullSafe(F.col("_d")) & (known["tx"] == F.col("_t")))
+    units = stage(both.select("doc_id", "text", "tx", "marks").mapInArrow(_windows(least), UNITS_DDL), "windows")
+    unstage(marks)
+    rows = _later_rows(units).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    per = rows.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("k", "start", "end", "first_doc")).alias("windows"))
+    return per.mapInArrow(_joined(least), SPANS_DDL)
+
+
+def _spans(out: list[tuple]) -> pa.RecordBatch:
+    doc, tx, start, end, words, firsts = zip(*out, strict=True) if out else [()] * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc, pa.int64()), pa.array(tx, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+        names=["doc_id", "tx", "start", "end", "words", "first_doc_ids"],
+    )
+
+
+def _joined(least: int):
+    """Windows that overlap or touch, as one span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, tx, windows in zip(b["doc_id"].to_pylist(), b["tx"].to_pylist(), b["windows"], strict=True):
+                k, start, end = (int64s(windows.values.field(c)) for c in ("k", "start", "end"))
+                order = np.argsort(k, kind="stable")
+                k, start, end, first = k[order], start[order], end[order], windows.values.field("first_doc").take(pa.array(order))
+                cuts = [0, *(np.flatnonzero(np.diff(k) > least) + 1).tolist(), len(k)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    firsts = sorted(first[lo:hi].unique().to_pylist(), key=lambda d: (d is not None, d or 0))
+                    out.append((doc, tx, int(start[lo]), int(end[hi - 1]), int(k[hi - 1] - k[lo]) + least, firsts))
+            yield _spans(out)
+
+    return run
 
 
 def _runs(min_run: int, within_documents: bool):
@@ -190,11 +344,7 @@ def _runs(min_run: int, within_documents: bool):
                     if words >= min_run:
                         out.append((doc, tx, part[0]["start"], part[-1]["end"], words, sorted({u["first_doc"] for u in part}, key=lambda d: (d is not None, d or 0))))
                     at = end
-            doc, tx, start, end, words, firsts = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(tx, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", "tx", "start", "end", "words", "first_doc_ids"],
-            )
+            yield _spans(out)
 
     return run
 
@@ -215,4 +365,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "words", "first_doc_ids")
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "words", "first_doc_ids")

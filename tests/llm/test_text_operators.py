@@ -170,6 +170,39 @@ def test_repeated_passages_edges(spark):
     assert substring_dedup.remove_spans(docs, substring_dedup.repeated_spans(docs)).count() == docs.count()
 
 
+def brute_passages(rows, least):
+    first, out = {}, set()
+    for d, t in sorted(rows):
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", t)]
+        windows = [tuple(w for w, _, _ in words[k : k + least]) for k in range(len(words) - least + 1)]
+        hits = {k: first[w] for k, w in enumerate(windows) if first.setdefault(w, d) != d}
+        covered = sorted({i for k in hits for i in range(k, k + least)})
+        while covered:
+            n = next((n for n in range(1, len(covered)) if covered[n] != covered[n - 1] + 1), len(covered))
+            lo, hi, covered = covered[0], covered[n - 1], covered[n:]
+            out.add((d, words[lo][1], words[hi][2], hi - lo + 1, tuple(sorted({f for k, f in hits.items() if lo <= k <= hi}))))
+    return out
+
+
+def test_passages_that_start_and_end_inside_sentences(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    said = lambda n: " ".join(f"{'Ab'[rng.integers(2)]}{rng.integers(3000)}" + (" " * rng.integers(1, 3) if rng.random() < 0.1 else "\n" if rng.random() < 0.05 else "") for _ in range(n))
+    whole = said(400)
+    parts = [x.group() for x in re.finditer(r"\S+\s*", whole)]
+    rows = [(0, f"One {whole} end.")]
+    for i in range(1, 60):
+        lo, n = int(rng.integers(0, 330)), int(rng.choice([19, 20, 51, 60]))
+        rows.append((i, f"{said(int(rng.integers(1, 15)))} {''.join(parts[lo : lo + n]).upper()} {said(int(rng.integers(0, 15)))} and so on."))
+    spark.createDataFrame([(d, t) for d, t in rows + rows[:4]], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["start"], r["end"], r["words"], tuple(r["first_doc_ids"])) for r in substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_passages(rows, 20) and len(got) > 30
+
+
+def test_passages_of_edges(spark):
+    assert {r["doc_id"] for r in substring_dedup.repeated_passages(edges.documents(spark)).collect()} == {8}
+    assert substring_dedup.repeated_passages(edges.empty(spark)).count() == 0
+
+
 # --- 6: near-duplicates --------------------------------------------------------------------------------------------
 
 
