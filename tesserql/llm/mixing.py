@@ -10,8 +10,8 @@ source's permuted blocks. Within a shard, rows are ordered by another hash.
 What reaches the driver: one row a source, and at most BLOCKS * 3 counts a source for the tree. Reruns give the same.
 
 Defined results: a null text has size 0, null sources form one source, the last one; a document of size 0 is
-taken as its block is; a source of size 0 has target 0 and takes nothing; exactly repeated rows are each drawn
-alike; an empty table gives an empty result; further columns of the input are passed through by `mix`.
+taken as its block is; a source of size 0 has target 0 and takes nothing; rows with one id and text
+are drawn alike, but where the edge's cut parts them, some once more than the others; an empty table gives an empty result; further columns of the input are passed through by `mix`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import partitions, stage, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -63,9 +63,9 @@ def block_order(source: Column, block: Column) -> Column:
 
 
 def draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
-    """(a row per document: doc_id, source, size, source_size, target, block, taken; a row per source and block: drawn passes)."""
+    """(a row per document: doc_id, source, size, tx, source_size, target, block, taken, times; a row per source and block: drawn passes)."""
     spark = docs.sparkSession
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), block_of(F.col("doc_id")).alias("block")), "sizes")
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), block_of(F.col("doc_id")).alias("block"), F.xxhash64("text").alias("tx")), "sizes")
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     totals = blocks.groupBy("source").agg(F.sum("words").alias("words")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -81,9 +81,9 @@ def draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     plan = stage(plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "o", "words", "source_size", "target", "passes", "whole", "edge", (F.col("rest") - F.col("before")).alias("room")), "blocks")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     # The edge: one block a source, cut where the words taken come nearest to the room in it.
-    run = Window.partitionBy("source").orderBy(within(F.col("doc_id")), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("source").orderBy(within(F.col("doc_id")), "size", "tx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = rows.where("edge").withColumn("upto", F.sum("size").over(run)).withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("room")).cast("int"))
-    keep = ["doc_id", "source", "size", "source_size", "target", "block", ((F.col("passes") + F.col("more")) * F.col("size")).alias("taken"), (F.col("passes") + F.col("more")).cast("int").alias("times")]
+    keep = ["doc_id", "source", "size", "tx", "source_size", "target", "block", ((F.col("passes") + F.col("more")) * F.col("size")).alias("taken"), (F.col("passes") + F.col("more")).cast("int").alias("times")]
     out = rows.where(~F.col("edge")).withColumn("more", F.col("whole")).select(*keep).union(cut.select(*keep))
     return out, plan
 
@@ -109,6 +109,11 @@ def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 1) -> DataFrame:
     """docs, each row as often as the mix takes it, with the output shard and the place in it (`shard` int, `place` long: a hash to sort by)."""
+    return _mixed(docs, shards, weights, most, seed)[1]
+
+
+def _mixed(docs: DataFrame, shards: int, weights: tuple[float, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows of draws, the mix)."""
     spark = docs.sparkSession
     rows, plan = draws(docs, weights, most)
     # One draw of a block a pass, in the order of passes and then of the permuted blocks; the edge counts as a block.
@@ -123,20 +128,50 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIG
     runs = spark.createDataFrame(runs, "_r string, lo long, hi long, shard int")
     dealt = drawn.join(runs, F.col("_s").eqNullSafe(F.col("_r")) & (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))).select("_s", "_b", "_p", "shard")
     # Narrow rows first: texts move once, in the last join.
-    taken = rows.where(F.col("times") > 0).select("doc_id", "source", "block", "times").distinct()
-    taken = taken.select("doc_id", "source", "block", F.explode(F.sequence(F.lit(1), "times")).alias("pass"))
+    key = ["doc_id", "source", "tx"]
+    drawn_rows = rows.groupBy(*key, "block").agg(F.min("times").alias("times"), F.max("times").alias("upto"), (F.sum("times") - F.count("*") * F.min("times")).alias("more"))
+    taken = drawn_rows.where(F.col("upto") > 0).select(*key, "block", "times", "upto", F.explode(F.sequence(F.lit(1), "upto")).alias("pass"))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("pass") == F.col("_p"))
     place = F.xxhash64(F.lit(seed), "pass", "doc_id", "source")
-    taken = taken.join(dealt, on).select(F.col("doc_id").alias("_tq_d"), F.col("source").alias("_tq_s"), F.col("shard").alias("_tq_h"), place.alias("_tq_p"))
-    taken = taken.groupBy("_tq_d", "_tq_s").agg(F.collect_list(F.struct("_tq_h", "_tq_p")).alias("_tq_t"))  # one to three a document
-    both = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_tq_d"]) & docs["source"].eqNullSafe(taken["_tq_s"]))
-    both = both.withColumn("_tq_e", F.explode("_tq_t"))
-    return both.select(*[docs[c] for c in docs.columns], F.col("_tq_e._tq_h").alias("shard"), F.col("_tq_e._tq_p").alias("place"))
+    copy = F.struct(F.col("shard").alias("_tq_h"), place.alias("_tq_p"), (F.col("pass") > F.col("times")).alias("_tq_x"))
+    taken = taken.join(dealt, on).select(F.col("doc_id").alias("_tq_d"), F.col("source").alias("_tq_s"), F.col("tx").alias("_tq_k"), copy.alias("_tq_c"))
+    taken = taken.groupBy("_tq_d", "_tq_s", "_tq_k").agg(F.collect_list("_tq_c").alias("_tq_t"))  # one to three a document
+    same = lambda d, s, k: docs["doc_id"].eqNullSafe(F.col(d)) & docs["source"].eqNullSafe(F.col(s)) & (F.xxhash64(docs["text"]) == F.col(k))
+    both = docs.join(taken.hint("shuffle_hash"), same("_tq_d", "_tq_s", "_tq_k")).withColumn("_tq_e", F.explode("_tq_t"))
+    columns = [*[docs[c] for c in docs.columns], F.col("_tq_e._tq_h").alias("shard"), F.col("_tq_e._tq_p").alias("place")]
+    out = both.where(~F.col("_tq_e._tq_x")).select(*columns)
+    # The edge may part rows with one id and text: one group a source at most, whose first `more` rows are taken once more.
+    parted = drawn_rows.where(F.col("upto") > F.col("times")).select(*key, "block", "upto", "more").collect()
+    if not parted:
+        return rows, out
+    parted = spark.createDataFrame(parted, drawn_rows.select(F.col("doc_id").alias("_tq_d"), F.col("source").alias("_tq_s"), F.col("tx").alias("_tq_k"), F.col("block").alias("_tq_b"), F.col("upto").alias("_tq_u"), F.col("more").alias("_tq_m")).schema)
+    on = F.col("_tq_s").eqNullSafe(F.col("_s")) & (F.col("_tq_b") == F.col("_b")) & (F.col("_tq_u") == F.col("_p"))
+    parted = parted.join(dealt, on).withColumn("_tq_p", F.xxhash64(F.lit(seed), "_tq_u", "_tq_d", "_tq_s"))
+    some = docs.join(F.broadcast(parted), same("_tq_d", "_tq_s", "_tq_k"))
+    some = some.withColumn("_tq_n", F.row_number().over(Window.partitionBy("_tq_d", "_tq_s", "_tq_k").orderBy("_tq_p"))).where(F.col("_tq_n") <= F.col("_tq_m"))
+    return rows, out.union(some.select(*[docs[c] for c in docs.columns], parted["shard"], F.col("_tq_p").alias("place")))
+
+
+def in_order(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The mix, each shard's rows together and in the order of their places; a large shard is cut into ranges of places."""
+    n = max(partitions(mixed.sparkSession), shards)
+    cut = F.shiftright("place", 48) * F.lit(-(-n // shards)) / F.lit(1 << 16)
+    return mixed.repartition(n, F.col("shard"), F.floor(cut)).sortWithinPartitions("shard", "place")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = draws(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    """What the mix emits, counted for each document; what it emits is written with its texts, shard by shard."""
+    docs = table(spark, sf_dir, "documents")
+    rows, mixed = _mixed(docs, SHARDS, WEIGHTS, MOST_REPEATS, 1)
+    emitted = stage(in_order(mixed), "mixed")
+    key = ["doc_id", "source", "tx"]
+    copies = emitted.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_t")).groupBy("_d", "_s", "_t").agg(F.count("*").alias("copies"))
+    own = rows.groupBy(*key, "size", "source_size", "target").agg(F.count("*").alias("n"))
+    own = own.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("tx") == F.col("_t")), "left").withColumn("c", F.coalesce("copies", F.lit(0)))
+    # Rows with one id and text differ by one copy at most.
+    own = own.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    times = F.floor(F.col("c") / F.col("n")) + (F.col("i") <= F.col("c") % F.col("n")).cast("long")
+    return own.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
 OP7_SQL = """

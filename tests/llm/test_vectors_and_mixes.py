@@ -143,6 +143,28 @@ def test_mix_edges(spark):
     assert mixing.mix(edges.empty(spark)).count() == 0
 
 
+def test_mix_emits_what_is_drawn(spark, tmp_path):
+    """The edge's cut parts rows with one id: the rows of a source whose ids are null share a block."""
+    rows = [(None, f"{'w ' * (n % 4 + 1)}", s) for s in ("a", "b", None) for n in range(40)] + [(1, "x y", "a")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    planned = Counter()
+    for r in mixing.draws(docs)[0].collect():
+        planned[r["doc_id"], r["source"], r["size"]] += r["times"]
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.mix(docs).collect()) == +planned
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same(mixing.op7_mix_sources(spark, str(tmp_path)), connection(str(tmp_path)), mixing.OP7_SQL)
+
+
+def test_mix_query_takes_what_the_mix_emits(spark, sf_dir, monkeypatch):
+    whole = mixing._mixed
+    monkeypatch.setattr(mixing, "_mixed", lambda *a: (lambda rows, mixed: (rows, mixed.where("shard <> 3")))(*whole(*a)))
+    got = sum(r["taken"] for r in mixing.op7_mix_sources(spark, sf_dir).collect())
+    docs = table(spark, sf_dir, "documents")
+    kept = whole(docs, mixing.SHARDS, mixing.WEIGHTS, mixing.MOST_REPEATS, 1)[1].where("shard <> 3")
+    want = kept.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    assert got == want
+
+
 # --- 10: packing ---------------------------------------------------------------------------------------------------
 
 
