@@ -79,7 +79,7 @@ def features(text: bytes) -> list[float]:
         math.log1p(n / m),
         1 - len(set(lines)) / m,
         sum(x[-1] in b".!?" for x in lines) / m,
-        sum(map(bytes.istitle, words)) / w if len(words) < 5000 else sum(65 <= x[0] <= 90 for x in words) / w,
+        sum(65 <= x[0] <= 90 for x in words) / w,
         float((sizes == 1).sum()) / w,
         len(zlib.compress(text, 1)) / max(n, 1),
     ]

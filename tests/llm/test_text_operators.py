@@ -122,6 +122,12 @@ def test_quality_edges(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+@pytest.mark.parametrize("word", [b"ALL", b"Don't", b"\"Quoted\"", b"Well-known", b"plain"])
+def test_quality_capital_words_at_every_length(word):
+    k = quality.NAMES.index("capital_words")
+    assert len({quality.features(b" ".join([word] * n))[k] for n in (10, 4999, 5000, 6000)}) == 1
+
+
 # --- 5: passages ---------------------------------------------------------------------------------------------------
 
 PASSAGE = " ".join(f"The {a} {b} went along the {c} river." for a, b, c in zip("red big old new odd dry wet".split(), "fox dog cat cow owl ape bee".split(), "long wide deep cold slow fast dark".split(), strict=True))
