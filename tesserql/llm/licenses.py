@@ -53,6 +53,7 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, [w for w, _, _ in words_of(text)]
         self.cues = [i for i, w in enumerate(self.words) if w in CUES]
+        self.counts = Counter(self.words)
 
 
 _templates = [Template(*t) for t in TEMPLATES]
@@ -111,7 +112,8 @@ def scan(text: str) -> list[tuple[str, int, int, int, float]]:
         for t in _templates:
             lo = max(0, cue - t.cues[-1] - MARGIN)
             hi = min(len(plain), cue - t.cues[0] + len(t.words) + MARGIN)
-            if len({*plain[lo:hi]} & {*t.words}) < COVERAGE * len(set(t.words)):
+            # At most so many words can match, with repeats.
+            if (Counter(plain[lo:hi]) & t.counts).total() / len(t.words) < COVERAGE:
                 continue
             pairs = align(plain[lo:hi], t.words)
             coverage = len(pairs) / len(t.words)
