@@ -236,6 +236,21 @@ def test_token_ids_are_those_of_the_file(spark, sf_dir):
 # --- the pipeline --------------------------------------------------------------------------------------------------
 
 
+def test_mix_stage_keeps_the_order_of_the_mix(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    at = defaultdict(set)
+    for r in mixing.mix(docs).select("doc_id", "shard").collect():
+        at[r["doc_id"]].add(r["shard"])
+    out = corpus_pipeline.mix_stage(spark, docs, sf_dir).select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    seen = defaultdict(list)
+    for r in out:
+        if len(at[r["doc_id"]]) == 1:
+            seen[r["p"]] += at[r["doc_id"]]
+    assert seen and all(x == sorted(x) for x in seen.values())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from tesserql.llm.common import stage
