@@ -97,36 +97,64 @@ def test_searches_of_nothing(spark):
 # --- 7: mixing -----------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    sizes = [10, 1000, 5, 300, 0, 70]
-    got = mixing.targets(sizes)
-    assert abs(sum(got) - sum(sizes)) < 1e-6
-    assert all(t <= 3 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
-    free = [t / w for t, s, w in zip(got, sizes, [5, 2, 1, 5, 2, 1], strict=True) if t < 3 * s - 1e-9]
-    assert max(free) - min(free) < 1e-9
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def drawn(docs, **more):
+    return mixing.draws(*mixing.planned(docs, **more))
 
 
-def test_split_tree():
-    have = np.array([7, 0, 100, 13])
-    out = mixing.split_tree(have, 6, seed=4)
-    assert (out.sum(axis=0) == have).all() and (out == mixing.split_tree(have, 6, seed=4)).all()
-    assert out.sum(axis=1).max() - out.sum(axis=1).min() <= 2
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0), most=3):
+    """Filled step by step: what a full source leaves goes to the others by weight."""
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    full: set = set()
+    while True:
+        level = (sum(sizes) - sum(most * sizes[i] for i in full)) / (sum(w[i] for i in range(len(w)) if i not in full) or 1)
+        more = {i for i in range(len(w)) if i not in full and level * w[i] > most * sizes[i]}
+        if not more:
+            return [most * sizes[i] if i in full else level * w[i] for i in range(len(w))]
+        full |= more
 
 
-def test_mix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows, _ = mixing.draws(docs)
-    rows = rows.collect()
-    sums = defaultdict(int)
+@pytest.mark.parametrize("sizes", [[10, 1000, 5, 300, 0, 70], [0, 0], [7], [1, 1, 1, 5000], [3, 10**9, 2, 2, 10**6]])
+def test_targets(spark, sizes):
+    names = [f"s{i:02}" for i in range(len(sizes) - 1)] + [None]
+    blocks = spark.createDataFrame([(n, x // 2) for n, x in zip(names, sizes, strict=True)] + [(n, x - x // 2) for n, x in zip(names, sizes, strict=True)], "source string, words long")
+    got = {r["source"]: r["target"] for r in mixing.targets(blocks).collect()}
+    assert [got[n] for n in names] == pytest.approx(plain_targets(sizes))
+    assert sum(got.values()) == pytest.approx(sum(sizes))
+    assert mixing.targets(blocks.where("false")).count() == 0
+
+
+def test_split_tree():
+    have = np.array([7, 0, 100, 13])
+    quotas = mixing.even(120, 6)
+    out = mixing.split_tree(have, quotas, [4])
+    assert (out.sum(axis=0) == have).all() and (out.sum(axis=1) == quotas).all() and (out == mixing.split_tree(have, quotas, [4])).all()
+    # A shard's share of a source varies as a draw without replacement does.
+    many = np.array([mixing.split_tree(have, quotas, [s])[0, 2] for s in range(400)])
+    assert abs(many.mean() - 100 / 6) < 0.4 and 0.5 < many.var() / (20 * (100 / 120) * (20 / 120) * (100 / 119)) < 1.6
+
+
+def check_mix(spark, docs):
+    """The copies that the mix writes are those that are planned, near their targets, never more than three, in every shard its quota."""
+    rows = drawn(docs).collect()
+    sums, planned = defaultdict(int), Counter()
     for r in rows:
-        assert r["taken"] <= 3 * r["size"]
+        assert r["taken"] == r["times"] * r["size"] and 0 <= r["times"] <= 3
         sums[r["source"], r["target"], r["source_size"]] += r["taken"]
-    largest = max(r["size"] for r in rows)
+        planned[r["doc_id"], r["source"], r["size"]] += r["times"]
+    groups = Counter()
+    for r in docs.select("doc_id", "source", "text", mixing.word_count(F.col("text")).alias("n")).collect():
+        groups[r["doc_id"], r["source"], r["text"]] += r["n"]
+    largest = max(groups.values(), default=0)
     assert all(abs(taken - target) <= largest for (_, target, _), taken in sums.items())
-    times = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
-    assert times == Counter({r["doc_id"]: r["times"] for r in rows if r["times"]})
-    assert sorted(map(tuple, mixing.mix(docs).select("doc_id", "shard", "place").collect())) == sorted(map(tuple, mixing.mix(docs).select("doc_id", "shard", "place").collect()))
+    mixed = mixing.mix(docs).select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"), "mix_shard", "mix_place").collect()
+    assert Counter((r["doc_id"], r["source"], r["n"]) for r in mixed) == +planned
+    again = mixing.mix(docs).select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"), "mix_shard", "mix_place").collect()
+    assert sorted(map(tuple, mixed), key=repr) == sorted(map(tuple, again), key=repr)
+    return rows
+
+
+def test_mix(spark, sf_dir):
+    check_mix(spark, table(spark, sf_dir, "documents"))
 
 
 def test_mix_sql(spark, sf_dir):
@@ -134,35 +162,44 @@ def test_mix_sql(spark, sf_dir):
 
 
 def test_mix_edges(spark):
-    docs = edges.documents(spark)
-    rows, _ = mixing.draws(docs)
-    assert rows.count() == docs.count()
-    assert mixing.mix(docs).select(*docs.columns).columns == docs.columns
-    assert mixing.mix(docs).count() > 0
-    assert mixing.draws(edges.empty(spark))[0].count() == 0
+    docs = edges.documents(spark).withColumn("mix_shard", F.lit("old")).withColumn("block", F.lit(1)).withColumn("_s", F.lit(2)).withColumn("times", F.lit(3))
+    assert len(check_mix(spark, docs)) == docs.count()
+    assert mixing.mix(docs).columns == [*[c for c in docs.columns if c != "mix_shard"], "mix_shard", "mix_place"]
+    assert mixing.in_order(mixing.mix(docs)).count() > 0
+    assert drawn(edges.empty(spark)).count() == 0
     assert mixing.mix(edges.empty(spark)).count() == 0
 
 
-def test_mix_emits_what_is_drawn(spark, tmp_path):
-    """The edge's cut parts rows with one id: the rows of a source whose ids are null share a block."""
-    rows = [(None, f"{'w ' * (n % 4 + 1)}", s) for s in ("a", "b", None) for n in range(40)] + [(1, "x y", "a")] * 9
+def test_mix_of_repeated_rows_null_ids_and_empty_texts(spark, tmp_path):
+    rows = [(None, f"{'w ' * (n % 4 + 1)}", s) for s in ("a", "b", None) for n in range(40)] + [(1, "x y", "a")] * 9 + [(n // 2, "p q r", "c") for n in range(200)] + [(n, None if n % 2 else "", "d") for n in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    planned = Counter()
-    for r in mixing.draws(docs)[0].collect():
-        planned[r["doc_id"], r["source"], r["size"]] += r["times"]
-    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.mix(docs).collect()) == +planned
+    check_mix(spark, docs)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     same(mixing.op7_mix_sources(spark, str(tmp_path)), connection(str(tmp_path)), mixing.OP7_SQL)
 
 
+def test_mix_of_many_sources(spark, tmp_path):
+    """A source a host: nothing is gathered or dealt by source alone."""
+    spark.range(60000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 11 as int)) AS text", "concat('host', if(id < 20000, 0, id % 20011)) AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op7_mix_sources(spark, str(tmp_path))
+    same(got, connection(str(tmp_path)), mixing.OP7_SQL)
+
+
 def test_mix_query_takes_what_the_mix_emits(spark, sf_dir, monkeypatch):
-    whole = mixing._mixed
-    monkeypatch.setattr(mixing, "_mixed", lambda *a: (lambda rows, mixed: (rows, mixed.where("shard <> 3")))(*whole(*a)))
+    whole = mixing.emit
+    monkeypatch.setattr(mixing, "emit", lambda *a: whole(*a).where("mix_shard <> 3"))
     got = sum(r["taken"] for r in mixing.op7_mix_sources(spark, sf_dir).collect())
-    docs = table(spark, sf_dir, "documents")
-    kept = whole(docs, mixing.SHARDS, mixing.WEIGHTS, mixing.MOST_REPEATS, 1)[1].where("shard <> 3")
-    want = kept.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
-    assert got == want
+    kept = whole(table(spark, sf_dir, "documents"), mixing.planned(table(spark, sf_dir, "documents"))[1]).where("mix_shard <> 3")
+    assert got == kept.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+
+
+def test_mix_shards_and_order(spark, sf_dir):
+    out = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents"))).select(F.spark_partition_id().alias("p"), "mix_shard", "mix_place").collect()
+    assert {r["mix_shard"] for r in out} == set(range(mixing.SHARDS))
+    by_partition = defaultdict(list)
+    for r in out:
+        by_partition[r["p"]].append((r["mix_shard"], r["mix_place"]))
+    assert all(x == sorted(x) for x in by_partition.values())
 
 
 # --- 10: packing ---------------------------------------------------------------------------------------------------
@@ -241,8 +278,8 @@ def test_mix_stage_keeps_the_order_of_the_mix(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     at = defaultdict(set)
-    for r in mixing.mix(docs).select("doc_id", "shard").collect():
-        at[r["doc_id"]].add(r["shard"])
+    for r in mixing.mix(docs).select("doc_id", "mix_shard").collect():
+        at[r["doc_id"]].add(r["mix_shard"])
     out = corpus_pipeline.mix_stage(spark, docs, sf_dir).select(F.spark_partition_id().alias("p"), "doc_id").collect()
     seen = defaultdict(list)
     for r in out:
