@@ -14,10 +14,14 @@ def update(df: DataFrame, where: Column, shard_column: str | None = None, **valu
     return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
-def update_join(df: DataFrame, source: DataFrame, on: Column, **values: Column) -> DataFrame:
-    """UPDATE with a second table; a row that several rows of `source` meet would be ambiguous, so source's keys are unique."""
-    hit = source.withColumn("_hit", F.lit(True))
-    out = df.join(hit, on, "left")
+def update_join(df: DataFrame, source: DataFrame, on: dict[str, str], **values: Column) -> DataFrame:
+    """UPDATE with a second table, df's columns equal to source's. Each row is updated once: of source rows with one key, the least counts."""
+    keys = list(on.values())
+    rest = [c for c in source.columns if c not in keys]
+    one = source.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_rest")).select(*keys, "_rest.*") if rest else source.select(*keys).distinct()
+    hit = one.withColumn("_hit", F.lit(True))
+    same = [df[a] == hit[b] for a, b in on.items()]
+    out = df.join(hit, same, "left")
     return out.select(*[F.when(F.col("_hit"), values[c]).otherwise(df[c]).cast(df.schema[c].dataType).alias(c) if c in values else df[c] for c in df.columns])
 
 

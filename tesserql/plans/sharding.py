@@ -109,38 +109,55 @@ class Hash(ShardFunction):
         return None if high - low >= len(self.table) else {self.of(v) for v in range(low, high + 1)}
 
 
-def sliced(c: Column, start: int, end: int) -> Column:
-    """c[start:end]; an end of 0 is the end of the text, negative places count from it."""
-    size = F.char_length(c)
-    at = lambda n: F.greatest(size + n, F.lit(0)) if n < 0 else F.least(F.lit(n), size)
-    stop = size if end == 0 else at(end)
-    return F.substring(c, at(start) + 1, F.greatest(stop - at(start), F.lit(0)))
+def slice_ends(size: int | Column, start: int, end: int, greatest=max, least=min) -> tuple:
+    """Places of [start:end] in a text of that size; an end of 0 is the end of the text, negative places count from it."""
+    at = lambda n: greatest(size + n, 0) if n < 0 else least(n, size)
+    return at(start), size if end == 0 else at(end)
 
 
-def sliced_text(s: str, start: int, end: int) -> str:
-    at = lambda n: max(len(s) + n, 0) if n < 0 else min(n, len(s))
-    return s[at(start) : len(s) if end == 0 else at(end)]
+def _slice_ends(size: Column, start: int, end: int) -> tuple[Column, Column]:
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    low, high = slice_ends(size, start, end, lambda a, b: F.greatest(col(a), col(b)), lambda a, b: F.least(col(a), col(b)))
+    return low, F.greatest(high - low, F.lit(0))
 
 
-def text_hash(s: Column) -> Column:
-    """31 * h + code over characters, wrapped to 64 bits with sign: in halves of 32 bits, which can't overflow."""
-    low = F.lit((1 << 32) - 1).cast("long")
-
-    def step(h: Column, ch: Column) -> Column:
-        right = h.bitwiseAND(low) * 31 + F.ascii(ch).cast("long")
-        left = (F.shiftrightunsigned(h, 32) * 31 + F.shiftright(right, 32)).bitwiseAND(low)
-        return F.shiftleft(left, 32).bitwiseOR(right.bitwiseAND(low))
+def units(s: str) -> list[int]:
+    """The 16-bit units of a text, in which places are counted and hashes made."""
+    raw = s.encode("utf-16-be", "surrogatepass")
+    return [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw), 2)]
 
-    return F.aggregate(F.filter(F.split(s, ""), lambda ch: ch != ""), F.lit(0).cast("long"), step)
 
-
-def hash_of(s: str) -> int:
+def sliced_hash(s: str, start: int, end: int) -> int:
+    own = units(s)
+    low, high = slice_ends(len(own), start, end)
     h = 0
-    for ch in s:
-        h = (31 * h + ord(ch)) % WRAP
+    for u in own[low:high]:
+        h = (31 * h + u) % WRAP
     return h - WRAP if h >= WRAP >> 1 else h
 
 
+def text_hash(s: Column, start: int = 0, end: int = 0) -> Column:
+    """31 * h + unit over the 16-bit units of s[start:end], wrapped to 64 bits with sign: in halves of 32 bits, which can't overflow."""
+    low = F.lit((1 << 32) - 1).cast("long")
+
+    def fold(codes: Column) -> Column:
+        def step(h: Column, code: Column) -> Column:
+            right = h.bitwiseAND(low) * 31 + code
+            left = (F.shiftrightunsigned(h, 32) * 31 + F.shiftright(right, 32)).bitwiseAND(low)
+            return F.shiftleft(left, 32).bitwiseOR(right.bitwiseAND(low))
+
+        return F.aggregate(codes, F.lit(0).cast("long"), step)
+
+    at, size = _slice_ends(F.char_length(s), start, end)
+    letters = F.filter(F.split(F.substring(s, at + 1, size), ""), lambda ch: ch != "")
+    # Characters beyond 16 bits are two units each.
+    raw = F.hex(F.encode(s, "UTF-16BE"))
+    first, count = _slice_ends((F.length(raw) / 4).cast("int"), start, end)
+    wide = F.transform(F.sequence(first, first + count - 1), lambda i: F.conv(F.substring(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    wide = F.when(count > 0, wide).otherwise(F.array().cast("array<long>"))
+    return F.when(s.rlike("[\\x{10000}-\\x{10FFFF}]"), fold(wide)).otherwise(fold(F.transform(letters, lambda ch: F.ascii(ch).cast("long"))))
+
+
 @dataclass
 class StringHash(ShardFunction):
     """Texts: a hash of a slice, modulo the number of slots; NULL is shard 0."""
@@ -155,11 +172,11 @@ class StringHash(ShardFunction):
         self.table = segments(self.counts, self.lengths)
 
     def shard(self, c: Column) -> Column:
-        slot = F.pmod(text_hash(sliced(c.cast("string"), self.start, self.end)), F.lit(len(self.table)).cast("long"))
+        slot = F.pmod(text_hash(c.cast("string"), self.start, self.end), F.lit(len(self.table)).cast("long"))
         return F.when(c.isNull(), F.lit(0)).otherwise(slot_to_shard(slot, self.table))
 
     def of(self, value) -> int | None:
-        return 0 if value is None else self.table[hash_of(sliced_text(str(value), self.start, self.end)) % len(self.table)]
+        return 0 if value is None else self.table[sliced_hash(str(value), self.start, self.end) % len(self.table)]
 
 
 @dataclass
@@ -179,9 +196,17 @@ class NumberRange(ShardFunction):
         return next((s for low, high, s in self.spans if value is not None and low <= int(value) <= high), self.default)
 
     def between(self, low, high) -> set[int] | None:
-        found = {s for a, b, s in self.spans if a <= high and low <= b}
-        outside = self.default is not None and any(self.of(v) == self.default for v in (low, high))
-        return found | ({self.default} if outside else set()) or None
+        met = sorted((max(a, low), min(b, high), s) for a, b, s in self.spans if a <= high and low <= b)
+        if low > high:
+            return set()
+        # A key that no span has goes to the default; without one it has no shard.
+        at = low
+        for a, b, _ in met:
+            if a > at:
+                break
+            at = max(at, b + 1)
+        found = {s for _, _, s in met}
+        return found if at > high else None if self.default is None else found | {self.default}
 
 
 @dataclass
@@ -223,9 +248,17 @@ class DateRange(ShardFunction):
         return at if self.count is None else at % self.count
 
     def between(self, low, high) -> set[int] | None:
-        if low < self.begin or (self.count and (high - low).days >= self.days * self.count):
+        if low > high:
+            return set()
+        if low < self.begin and self.default is None:
             return None
-        return {self.of(low + datetime.timedelta(d)) for d in range((high - low).days + 1)}
+        early = {self.default} if low < self.begin else set()
+        if high < self.begin:
+            return early
+        first, last = (max((d - self.begin).days, 0) // self.days for d in (low, high))
+        if self.count is None:
+            return early | set(range(first, last + 1))
+        return early | {i % self.count for i in range(first, min(last, first + self.count - 1) + 1)}
 
 
 @dataclass
@@ -246,6 +279,20 @@ class Pattern(ShardFunction):
         except (TypeError, ValueError):
             return self.default
 
+    def between(self, low, high) -> set[int] | None:
+        """None, all shards, also where an end isn't a number."""
+        try:
+            low, high = int(low), int(high)
+        except (TypeError, ValueError):
+            return None
+        if low > high:
+            return set()
+        if high - low >= self.modulus:
+            return None
+        first, last = low % self.modulus, high % self.modulus
+        ends = [(first, last)] if first <= last else [(first, self.modulus - 1), (0, last)]
+        return disjunction(*(NumberRange(self.spans, self.default).between(a, b) for a, b in ends))
+
 
 @dataclass
 class JumpHash(ShardFunction):
@@ -263,10 +310,10 @@ class JumpHash(ShardFunction):
             known = keys.fillna(0).map(int)
             return pd.Series(jump_buckets(np.array([k % WRAP for k in known], dtype=np.uint64), buckets)).astype("int32")
 
-        return F.when(c.isNull(), F.lit(0)).otherwise(jump(text_hash(sliced(c.cast("string"), self.start, self.end))))
+        return F.when(c.isNull(), F.lit(0)).otherwise(jump(text_hash(c.cast("string"), self.start, self.end)))
 
     def of(self, value) -> int | None:
-        key = hash_of(sliced_text(str(value), self.start, self.end)) if value is not None else None
+        key = sliced_hash(str(value), self.start, self.end) if value is not None else None
         return 0 if key is None else int(jump_buckets(np.array([key % WRAP], dtype=np.uint64), self.buckets)[0])
 
 

@@ -123,7 +123,9 @@ fn("math_conv", "num", r=("s", lambda: M.conv(n(), 10, 16), "hex(n)"), q=("s", l
 fn("math_ceil", "num", r=("l", lambda: M.ceil(x()), "ceil(x)"))
 fn("math_cos", "num", r=("d", lambda: M.cos(x()), "cos(x)"))
 fn("math_cot", "num", r=("d", lambda: M.cot(i()), "CASE WHEN i <> 0 THEN 1 / tan(i) END"))
-fn("math_crc32", "num", r=("l", lambda: M.crc32(t()), None))
+#: Bit by bit, as the polynomial has it.
+CRC32_SQL = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, _: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"
+fn("math_crc32", "num", r=("l", lambda: M.crc32(t()), CRC32_SQL.format("t")))
 fn("math_degrees", "num", r=("d", lambda: M.degrees(x()), "degrees(x)"))
 fn("math_exp", "num", r=("d", lambda: M.exp(x() / 20), "exp(x / 20)"))
 fn("math_floor", "num", r=("l", lambda: M.floor(x()), "floor(x)"))
@@ -267,5 +269,5 @@ agg("bit", "num", "t", "t", a=("s", lambda: A.bit_and(n()), "bit_and(n::HUGEINT)
 agg("bit_empty", "num", "t", "t", a=("s", lambda: A.bit_and(F.when(n() > 999, n())), "'18446744073709551615'"), b=("s", lambda: A.bit_or(F.when(n() > 999, n())), "'0'"))
 agg("group_concat", "num", "t", "t", a=("s", lambda: A.group_concat(n(), order=[(n(), True)]), "left(string_agg(n::VARCHAR, ',' ORDER BY n), 1024)"), b=("s", lambda: A.group_concat(n(), order=[(n(), False)], separator=";"), "left(string_agg(n::VARCHAR, ';' ORDER BY n DESC), 1024)"))
 agg("group_concat_distinct", "num", "t", "t", a=("s", lambda: A.group_concat(n(), "x", distinct=True), "left(string_agg(DISTINCT n::VARCHAR || 'x', ',' ORDER BY n::VARCHAR || 'x'), 1024)"))
-agg("any_value", "num", "t", "t", a=("b", lambda: A.any_value(t()) == F.max("t"), "any_value(t) = max(t)"))
+agg("any_value", "num", "t", "t", a=("b", lambda: F.array_contains(F.collect_set("n"), A.any_value(n())), "any_value(n) IN (SELECT p_size FROM part)"))
 agg("global", "num", "", "", a=("l", A.count, "count(*)"), b=("d", lambda: A.sum_(x()), "sum(x)"))

@@ -312,7 +312,7 @@ def dml_update(t):
 @query("SELECT c_custkey, CASE WHEN n_name = 'NATION_3' THEN 'moved' ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def dml_update_join(t):
     source = t("nation").where("n_name = 'NATION_3'")
-    return dml.update_join(t("customer"), source, col("c_nationkey") == col("n_nationkey"), c_mktsegment=F.lit("moved")).select("c_custkey", "c_mktsegment")
+    return dml.update_join(t("customer"), source, {"c_nationkey": "n_nationkey"}, c_mktsegment=F.lit("moved")).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT coalesce(nullif(o_orderstatus, 'O') = 'F', FALSE)")
@@ -336,9 +336,33 @@ def sequence_dense(t):
     return files.sequence(t("part").select("p_partkey", "p_brand"), "id", ["p_brand", "p_partkey"]).select("p_partkey", "id")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS different FROM customer")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS id FROM lineitem")
+def sequence_payload(t):
+    """The whole of a large table, over more ranges than it has files."""
+    return files.sequence(t("lineitem"), "id", ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_extendedprice", "id")
+
+
+def _unique(ids):
+    """Rows, different numbers and the sign of the least: ids of several tasks."""
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), (F.min("id") > 0).alias("positive"))
+
+
+UNIQUE_SQL = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT (c_custkey)) AS BIGINT) AS different, TRUE AS positive FROM customer"
+
+
+@query(UNIQUE_SQL)
 def sequence_time(t):
-    return t("customer").select("c_custkey").coalesce(1).select(files.time_sequence(3).alias("id")).agg(F.count("*").alias("n"), F.least(F.count_distinct("id"), F.count("*")).alias("different"))
+    return _unique(t("customer").select("c_custkey").repartition(7).select(files.time_sequence(3).alias("id")))
+
+
+@query(UNIQUE_SQL)
+def sequence_distributed(t):
+    return _unique(t("customer").select("c_custkey").repartition(7).select(files.distributed_sequence(3).alias("id")))
+
+
+@query(UNIQUE_SQL)
+def sequence_batched(t):
+    return _unique(files.batched_sequence(t("customer").select("c_custkey").repartition(7), "id", 50))
 
 
 @query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY user_id, event_type")
@@ -362,8 +386,9 @@ ORACLE_SQL["system_columns"] = """SELECT * FROM (VALUES ('region', 0, 'r_regionk
 
 def _default_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with a default maximum of rows."""
-    return Catalog(spark, sf_dir, [TableConfig("nation", "global", max_rows=1000)]).table("nation")
+    orders = Catalog(spark, sf_dir, [TableConfig("orders", "sharding", max_rows=1000)]).table("orders")
+    return orders.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"))
 
 
 QUERIES["default_limit"] = _default_limit
-ORACLE_SQL["default_limit"] = "SELECT * FROM nation"
+ORACLE_SQL["default_limit"] = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS different FROM (SELECT o_orderkey FROM orders LIMIT 1000)"

@@ -43,6 +43,16 @@ shards("shard_enum", "customer", "c_custkey", "c_mktsegment", ENUM, "CASE c_mkts
 shards("shard_date", "orders", "o_orderkey", "o_orderdate", DATES, _date)
 shards("shard_pattern", "orders", "o_orderkey", "o_custkey", PATTERN, "(o_custkey % 256) // 64")
 shards("shard_jump", "customer", "c_custkey", "c_custkey", JUMP, None)
+#: The jumps of all keys, step by step.
+ORACLE_SQL["shard_jump"] = f"""
+WITH RECURSIVE h AS (SELECT c_custkey, {_fold.replace("c_name", "c_custkey::VARCHAR")} AS k FROM customer),
+j AS (
+  SELECT c_custkey, k, -1::BIGINT AS b, 0::BIGINT AS n FROM h
+  UNION ALL
+  SELECT c_custkey, k2, n, floor((n + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1.0)))::BIGINT
+  FROM (SELECT c_custkey, n, (k * {S.JUMP}::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM j WHERE n < 5))
+SELECT c_custkey, max(b)::BIGINT AS shard FROM j GROUP BY c_custkey
+"""
 
 
 def orders(spark: SparkSession, sf_dir: str, function: S.ShardFunction = HASH, column: str = "o_custkey") -> S.ShardedTable:
@@ -59,6 +69,40 @@ QUERIES["shard_prune_between"] = lambda spark, sf_dir: orders(spark, sf_dir, RAN
 ORACLE_SQL["shard_prune_between"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 450 AND 520"
 
 
+GAPS = S.NumberRange([(0, 499, 0), (800, 999, 1)], default=2)
+QUERIES["shard_prune_gap"] = lambda spark, sf_dir: orders(spark, sf_dir, GAPS).where_between(450, 820).select("o_orderkey", "o_custkey")
+ORACLE_SQL["shard_prune_gap"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 450 AND 820"
+QUERIES["shard_prune_pattern"] = lambda spark, sf_dir: orders(spark, sf_dir, PATTERN).where_between(200, 300).select("o_orderkey", "o_custkey")
+ORACLE_SQL["shard_prune_pattern"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 200 AND 300"
+QUERIES["shard_prune_date"] = lambda spark, sf_dir: orders(spark, sf_dir, DATES, "o_orderdate").where_between(datetime.date(1994, 11, 1), datetime.date(1995, 8, 1)).select("o_orderkey", "o_custkey")
+ORACLE_SQL["shard_prune_date"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate BETWEEN DATE '1994-11-01' AND DATE '1995-08-01'"
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(custkey = 77 or custkey between 450 and 820) and custkey in (77, 600, 5000): the shards of ANDed conditions meet, those of ORed ones add up."""
+    t = orders(spark, sf_dir, GAPS)
+    met = S.conjunction(S.disjunction(GAPS.any_of([77]), GAPS.between(450, 820)), GAPS.any_of([77, 600, 5000]))
+    return t.prune(met).where("(o_custkey = 77 OR o_custkey BETWEEN 450 AND 820) AND o_custkey IN (77, 600, 5000)").select("o_orderkey", "o_custkey")
+
+
+QUERIES["shard_prune_units"] = _units
+ORACLE_SQL["shard_prune_units"] = "SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey = 77 OR o_custkey BETWEEN 450 AND 820) AND o_custkey IN (77, 600, 5000)"
+
+
+def global_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of which one lacks a row and one has another value: which copies agree with the first."""
+    nation = table(spark, sf_dir, "nation")
+    changed = nation.withColumn("n_name", F.when(F.col("n_nationkey") == 7, "OTHER").otherwise(F.col("n_name")))
+    seen = S.consistency({"a": nation, "b": nation.where("n_nationkey <> 3"), "c": changed, "d": nation.orderBy(F.desc("n_name"))})
+    first = seen.where("copy = 'a'").select(F.col("n_rows").alias("_n"), F.col("checksum").alias("_c"))
+    return seen.crossJoin(F.broadcast(first)).select("copy", "n_rows", ((F.col("n_rows") == F.col("_n")) & (F.col("checksum") == F.col("_c"))).alias("agrees"))
+
+
+QUERIES["global_inconsistency"] = global_inconsistency
+ORACLE_SQL["global_inconsistency"] = "SELECT * FROM (SELECT count(*) AS n FROM nation) CROSS JOIN (VALUES ('a', 0, TRUE), ('b', 1, FALSE), ('c', 0, FALSE), ('d', 0, TRUE)) v(copy, less, agrees)"
+ORACLE_SQL["global_inconsistency"] = f"SELECT copy, CAST(n - less AS BIGINT) AS n_rows, agrees FROM ({ORACLE_SQL['global_inconsistency']})"
+
+
 def global_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two copies of a global table, the second dealt anew: the same counts and checksums."""
     nation = table(spark, sf_dir, "nation")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.sharding import ShardFunction
+from .staging import numbered
 
 
 def load_data(spark: SparkSession, path: str, schema: StructType | str, field: str = "\t", enclosed: str = "", charset: str = "UTF-8", line: str | None = None, ignore_lines: bool = False) -> DataFrame:
@@ -24,42 +27,78 @@ def split_load(df: DataFrame, column: str, function: ShardFunction, path: str, f
     df.withColumn("shard_id", function.shard(F.col(column))).write.partitionBy("shard_id").option("sep", field).option("nullValue", "\\N").csv(path)
 
 
-INSERT = re.compile(r"(?is)^\s*(?:INSERT|REPLACE)\s+(?:INTO\s+)?`?(\w+)`?\s*(?:\([^)]*\)\s*)?VALUES\s*(.*)$")
-FIELD = re.compile(r"\s*('(?:[^'\\]|\\.|'')*'|[^,()']+)\s*([,)])", re.S)
+INSERT = re.compile(r"(?is)\s*(?:(?:/\*.*?\*/|--[ \t][^\n]*|\#[^\n]*)\s*)*(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?(?:INTO\s+)?(?:`?\w+`?\.)?`?(\w+)`?\s*(?:\([^)]*\)\s*)?VALUES\s*")
+FIELD = re.compile(r"\s*(?:_binary\s*)?('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|[^\s,()'\"]+)\s*([,)])", re.S | re.I)
+#: What a backslash makes of the letter after it; others stand for themselves.
+ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
+#: Where a dump is cut; what then isn't a whole statement goes on in the next piece.
+END = ";\n"
+
+
+def unquoted(raw: str) -> str:
+    """The text that a quoted literal stands for."""
+    mark = raw[0]
+    return re.sub(rf"\\(.)|{mark}{mark}", lambda m: ESCAPES.get(m[1], m[1]) if m[1] else mark, raw[1:-1], flags=re.S)
 
 
 def values_of(statement: str) -> tuple[str, list[list[str | None]]] | None:
-    """The table and the rows of an INSERT ... VALUES; NULL is None, other fields are the texts they stand for."""
+    """The table and the rows of an INSERT ... VALUES; NULL is None, other fields are the texts they stand for. None for another statement; a row that can't be read is an error."""
     m = INSERT.match(statement)
     if not m:
         return None
-    rows, body, at = [], m[2], 0
-    while (at := body.find("(", at)) >= 0:
-        row, at = [], at + 1
-        while f := FIELD.match(body, at):
-            raw, at = f[1].strip(), f.end()
-            quoted = raw.startswith("'")
-            row.append(re.sub(r"\\(.)", r"\1", raw[1:-1].replace("''", "'")) if quoted else None if raw.upper() == "NULL" else raw)
-            if f[2] == ")":
-                break
+    rows, at = [], m.end()
+    while True:
+        if not (head := re.compile(r"\s*\(").match(statement, at)):
+            raise ValueError(f"no row of values at {statement[at : at + 40]!r}")
+        row, at, more = [], head.end(), ","
+        while more == ",":
+            f = FIELD.match(statement, at)
+            if not f:
+                raise ValueError(f"can't read a value at {statement[at : at + 40]!r}")
+            raw, more, at = f[1], f[2], f.end()
+            row.append(unquoted(raw) if raw[0] in "'\"" else None if raw.upper() == "NULL" else raw)
         rows.append(row)
-    return m[1], rows
-
-
-def split_dump(spark: SparkSession, path: str) -> DataFrame:
-    """table_name, fields of every row that a dump's INSERT statements hold; statements end with a semicolon at a line's end. `split_load` writes them by shard."""
-
-    @F.udtf(returnType="table_name string, fields array<string>")
-    class Rows:
-        def eval(self, statement: str):
-            if found := values_of(statement):
-                for row in found[1]:
-                    yield found[0], row
-
-    spark.udtf.register("tesserql_rows", Rows)
-    lines = spark.read.option("lineSep", ";\n").text(path)
-    lines.createOrReplaceTempView("tesserql_dump")
-    return spark.sql("SELECT r.table_name, r.fields FROM tesserql_dump, LATERAL tesserql_rows(value) r")
+        rest = re.compile(r"\s*(,|;?\s*$)").match(statement, at)
+        if not rest:
+            raise ValueError(f"can't read on at {statement[at : at + 40]!r}")
+        if rest[1] != ",":
+            return m[1], rows
+        at = rest.end()
+
+
+def balanced(text: str) -> bool:
+    """Whether no literal or comment is open at the end of a text."""
+    return not re.sub(r"(?s)'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|/\*.*?\*/|--[ \t][^\n]*|[^'\"`/-]|[/-]", "", text)
+
+
+def split_dump(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """table_name, fields of every row that a dump's INSERT statements hold; `split_load` writes them by shard.
+
+    Statements end with a semicolon at a line's end. Files are read in parts of any size; where a literal with such an end of line lies across two parts the read fails, and
+    `whole_files` reads each file (of at most 2 GB then) in one piece. A row that can't be read is an error.
+    """
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, file = None, None
+        for b in batches:
+            names, fields = [], []
+            for name, value in zip(b["file"].to_pylist(), b["value"].to_pylist(), strict=True):
+                if held is not None and name != file:
+                    raise ValueError(f"a statement is open at the end of {file}")
+                file = name
+                for piece in value.split(END):
+                    held = piece if held is None else held + END + piece
+                    if balanced(held):
+                        if found := values_of(held):
+                            names += [found[0]] * len(found[1])
+                            fields += found[1]
+                        held = None
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(fields, pa.list_(pa.string()))], names=["table_name", "fields"])
+        if held is not None:
+            raise ValueError(f"a statement is open at the end of a part of {file}")
+
+    pieces = spark.read.text(path, wholetext=True) if whole_files else spark.read.text(path, lineSep=END)
+    return pieces.select(F.input_file_name().alias("file"), "value").mapInArrow(rows_of, "table_name string, fields array<string>")
 
 
 def jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
@@ -68,18 +107,33 @@ def jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upp
 
 
 def sequence(df: DataFrame, name: str, order: list[str], start: int = 1) -> DataFrame:
-    """Dense numbers in an order. Each range of the order is numbered by itself, from the counts of the ranges before it, so no task numbers all rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
-    base = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_nth", nth).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_nth") + (start - 1)).drop("_part", "_base", "_nth")
-
-
-def time_sequence(instance: int = 0):
-    """Unique rising ids: high bits of the milliseconds, 10 bits of the instance, 12 of a counter, low 12 bits of the milliseconds."""
+    """Dense numbers in an order, from one counter."""
+    return numbered(df, name, order, start)
+
+
+def batched_sequence(df: DataFrame, name: str, batch: int = 100, start: int = 1) -> DataFrame:
+    """Unique numbers from a counter that gives tasks `batch` numbers at a time: no order is kept and numbers that a task doesn't use are lost, but nothing is shuffled."""
+    part, nth = _task_counter()
+    turn = F.call_function("div", nth, F.lit(batch))
+    return df.withColumn(name, (F.shiftleft(turn, 20) + part) * batch + F.pmod(nth, F.lit(batch)) + start)
+
+
+def _task_counter() -> tuple[Column, Column]:
+    """(the task's number, 0, 1, ... in it)."""
     nth = F.monotonically_increasing_id()
-    ms = F.unix_millis(F.current_timestamp()) + F.call_function("div", nth, F.lit(4096))  # the clock stands still in a query; the counter moves it on
+    return F.shiftright(nth, 33), nth.bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def time_sequence(instance: int = 0) -> Column:
+    """Unique ids: 30 high bits of the milliseconds, 10 bits of the instance, 12 of a counter, 12 low bits of the milliseconds."""
+    part, nth = _task_counter()
+    # The clock stands still in a query; the counter moves it on, and tasks are as far apart as their counters can go.
+    ms = F.unix_millis(F.current_timestamp()) + F.shiftleft(part, 21) + F.call_function("div", nth, F.lit(4096))
     return F.shiftleft(F.shiftright(ms, 12), 34) + F.lit((instance & 1023) << 24) + F.shiftleft(F.pmod(nth, F.lit(4096)), 12) + F.pmod(ms, F.lit(4096))
+
+
+def distributed_sequence(instance: int = 0, since: int = 1288834974657) -> Column:
+    """Unique ids: 9 bits of the task, 9 of the instance, 6 of a counter, 39 of the milliseconds since a start."""
+    part, nth = _task_counter()
+    ms = F.unix_millis(F.current_timestamp()) - F.lit(since) + F.shiftleft(F.shiftright(part, 9), 27) + F.call_function("div", nth, F.lit(64))
+    return F.shiftleft(part.bitwiseAND(F.lit(511)), 54) + F.lit((instance & 511) << 45) + F.shiftleft(F.pmod(nth, F.lit(64)), 39) + ms.bitwiseAND(F.lit((1 << 39) - 1))

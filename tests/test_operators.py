@@ -96,6 +96,29 @@ def test_sequence(spark):
     assert sorted((r.v, r.n) for r in rows) == [(i, i + 10) for i in range(57)]
 
 
+def test_sequence_of_a_large_table_with_a_payload(spark):
+    rows = files.sequence(spark.range(3_000_000).withColumn("p", F.xxhash64("id")), "n", ["p"])
+    got = rows.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.sum((F.xxhash64("id") != F.col("p")).cast("int"))).first()
+    assert tuple(got) == (3_000_000, 3_000_000, 1, 3_000_000, 0)
+    nulls = spark.createDataFrame([(None,), (3,), (None,), (1,)], "v int")
+    assert sorted((r.v or 0, r.n) for r in files.sequence(nulls, "n", ["v"]).collect()) == [(0, 1), (0, 2), (1, 3), (3, 4)]
+    assert files.sequence(nulls.where("false"), "n", ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("made", [lambda df: files.batched_sequence(df, "i", 7), lambda df: df.withColumn("i", files.time_sequence(5)), lambda df: df.withColumn("i", files.distributed_sequence(5))])
+def test_numbers_of_many_tasks_are_unique(spark, made):
+    got = made(spark.range(200_000).repartition(13)).agg(F.count("*"), F.count_distinct("i"), F.min("i")).first()
+    assert got[0] == got[1] == 200_000 and got[2] > 0
+
+
+def test_update_join_updates_a_row_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    source = spark.createDataFrame([(1, "x"), (1, "w"), (None, "y")], "j int, n string")
+    from tesserql.operators import dml
+
+    assert sorted(map(tuple, dml.update_join(df, source, {"k": "j"}, v=F.col("n")).collect()), key=repr) == sorted([(1, "w"), (2, "b"), (None, "c")], key=repr)
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(str(tmp_path / "events"))
@@ -113,6 +136,18 @@ def test_split_dump(spark, tmp_path):
     assert got == [("a", ["1", "x, (y)", None]), ("a", ["2", "it's; 'q'", "-3.5"]), ("b", ["7"])]
 
 
+def test_split_dump_of_hard_literals(spark, tmp_path):
+    text = "/* a; */ INSERT INTO `s`.`a` VALUES ('x;\ny',\"d''q\\n\",0x41),\n('--',_binary '\\0','\\\\');\nreplace into b values(1);\n-- it's a note\nINSERT INTO b VALUES (2)"
+    (tmp_path / "a.sql").write_text(text)
+    want = [("a", ["--", "\0", "\\"]), ("a", ["x;\ny", "d''q\n", "0x41"]), ("b", ["1"]), ("b", ["2"])]
+    assert sorted((r.table_name, list(r.fields)) for r in files.split_dump(spark, str(tmp_path / "a.sql"), whole_files=True).collect()) == want
+    assert sorted((r.table_name, list(r.fields)) for r in files.split_dump(spark, str(tmp_path / "a.sql")).collect()) == want
+    for bad in ("INSERT INTO a VALUES (1,'x' 'y');\n", "INSERT INTO a VALUES (1, (2));\n", "INSERT INTO a VALUES ('x;\n"):
+        (tmp_path / "b.sql").write_text(bad)
+        with pytest.raises(Exception, match="can't read|is open"):
+            files.split_dump(spark, str(tmp_path / "b.sql")).collect()
+
+
 def test_split_load(spark, tmp_path):
     from tesserql.plans import sharding as S
 
