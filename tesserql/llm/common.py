@@ -1,16 +1,14 @@
-"""What the operators share: tables staged in the cluster's shared folder, and bytes of Arrow texts."""
+"""What the operators share: staged tables, and bytes of Arrow texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources.staging import numbered, partitions, scratch, shared_folder, stage, unstage  # noqa: F401
 
 #: Bytes that separate words: space and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -20,69 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, one machine's session (as in tests) gets a temporary one; on a cluster no executor would see another's files there."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tesserql-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-#: Paths that stage has written and unstage hasn't deleted.
-_staged: list[str] = []
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and reread: its lineage ends there and any executor may be lost."""
-    path = f"{shared_folder(df.sparkSession)}/tesserql/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    _staged.append(path)
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _staged:
-        _staged.remove(path)
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
-    for df in frames:
-        _delete(df.sparkSession, df._staged_at)
-
-
-@contextmanager
-def scratch(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
-    """Deletes what is staged inside and still there at the end, but for what is appended to the list that it gives. Results that read staged tables must have been written by then."""
-    before, keep = set(_staged), list(kept)
-    try:
-        yield keep
-    finally:
-        for path in [p for p in _staged if p not in before and p not in {df._staged_at for df in keep}]:
-            _delete(spark, path)
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with `number`: 0, 1, ... in an order (nulls first; give columns that tell rows apart), range by range, so that no task gets all rows."""
-    n = partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    # Written once: ranges are drawn from a sample, and drawn anew they need not be the same.
-    held = stage(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
-    before, rows = 0, []
-    for part, count in sorted(tuple(r) for r in held.groupBy("_part").count().collect()):  # a row a partition
-        rows.append((part, before))
-        before += count
-    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long")
-    return held.join(F.broadcast(offsets), "_part").withColumn("number", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
-
-
 def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text, without decoding; None for a null."""
     if isinstance(column, pa.ChunkedArray):
@@ -110,7 +45,3 @@ def nullable(values: np.ndarray, nulls: np.ndarray) -> pa.Array:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

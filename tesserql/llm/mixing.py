@@ -53,7 +53,7 @@ def block_order(source: Column, block: Column) -> Column:
 def targets(blocks: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """source, source_size, target of every source of (source, words): its weight's share of all words; none above `most` times its size, the excess goes to the others by weight."""
     sized = blocks.groupBy("source").agg(F.sum("words").alias("words")).withColumn("last", F.col("source").isNull())
-    ranked = numbered(sized, "last", "source")
+    ranked = numbered(sized, "number", ["last", "source"])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
     sources = stage(ranked.select("source", F.col("words").alias("source_size"), weight.alias("w"), (F.col("words") * most).alias("cap"), (F.col("words") * most / weight).alias("ratio")), "sources")
     # The level to which sources are filled; it rises as full ones leave, until none does.
