@@ -37,8 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word [^\x20\x09-\x0D]+ of a text, A-Z lower-cased: differences of one running sum of bytes times powers."""
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a 64-bit hash, the first byte, the byte after the last) of each word [^\x20\x09-\x0D]+ of a text, A-Z lower-cased.
+
+    Hashes are differences of one running sum of bytes times powers.
+    """
     data = LOWER[np.frombuffer(text, dtype=np.uint8)]
     gap = np.ones(len(data) + 2, dtype=bool)
     gap[1:-1] = SPACE[data]
@@ -48,12 +51,20 @@ def word_hashes(text: bytes) -> np.ndarray:
     up, down = _powers.upto(len(data) + 1)
     run = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=run[1:])
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * M2), start, end
+
+
+def stretch_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch h[start:end] of word hashes."""
+    up, down = _powers.upto(len(h) + 1)
+    run = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * up[: len(h)], out=run[1:])
     return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * M2)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted hashes of the distinct `width`-word shingles of the lower-cased (A-Z) text; with fewer words the whole sequence is one; without words, empty."""
-    h = word_hashes(text or b"")
+    h = words_of(text or b"")[0]
     if not len(h):
         return np.zeros(0, dtype=np.uint64)
     n = max(1, len(h) - width + 1)

@@ -1,126 +1,111 @@
 """Substring dedup: the earliest occurrence of a passage stays, the others go.
 
-`repeated_passages` finds every word that lies in a window of MIN_RUN words which an earlier document has too, wherever the window begins: words are lower-cased and
-split at white space. Each window is marked by the least digest of its grams of half as many words; a mark depends on the window alone, so copies share it. Marks are
-range-partitioned and sorted; windows whose mark several documents have get 128-bit digests, which are range-partitioned with (document, position) and sorted, so one pass over
-each partition meets a digest's occurrences in rank order: the first is kept, the others are reported with the document that keeps it. A digest that several partitions share is
-settled by the first rows of its parts, two a partition at most, so a hot passage never meets in one task. Windows that overlap or touch are listed as one span, with
-its offsets in the original text.
-
-`repeated_spans` does the same with units instead of windows: sentences within lines (long ones in pieces, short ones together) of at least MIN_UNIT words. A document's reported
-units that follow one another (units too short to be hashed may lie between) form a run, removed from MIN_RUN words on. Its units depend on where the host's sentence begins,
-so it may miss passages that start or end inside sentences; the query doesn't use it.
-
-Defined results: a null or empty text has no windows or units; a row is known by its doc_id (null counts as an id, the first in rank) together with its text, so exactly repeated
-rows are one document and keep or lose the same spans; a document's own repeats stay (`repeated_spans`: unless `within_documents` is set); an empty table gives an empty result; further columns
-are ignored by both and passed through by `remove_spans`.
+Units are normalised, their digests are grouped over all documents, and of each digest the occurrence of the earliest document is kept. Whole lines miss passages inside lines, so
+a unit here is a paragraph that the words themselves cut: words are split at white space and lower-cased (A-Z), the pairs of words that have the least hash of any WINDOW pairs that follow one another
+are cuts, and from each cut a unit reaches over the first cut that makes it LEAST words long. Where a passage begins and ends in its host's lines or sentences doesn't matter: copies of it have the same cuts, but
+for those within WINDOW words of its ends. So what is reported is exact both ways:
+
+* a passage of at least LEAST + 2 * WINDOW - 2 words, so of over 50, that an earlier document has is found, but for fewer than WINDOW words where it begins and 2 * WINDOW where it ends;
+* every word reported lies in a unit of at least LEAST words that an earlier document has word for word; nothing between two repeated units goes with them.
+
+The 128-bit digests are range-partitioned with (document, place) and sorted, so one pass over each partition meets a digest's occurrences in rank order: the first is kept, the others are reported
+with the document that keeps it. A digest that several partitions share is settled in a second pass over what was found: its first rows in each of its partitions, two a partition at most, say which is
+the first of all, so a hot passage never meets in one task, and nothing is joined. Units that overlap or touch are listed as one span, with its offsets in the original text.
+
+Defined results: a null or empty text, or one of fewer than LEAST words, has no units; a row is known by its doc_id (null counts as an id, the first in rank) together with its text, so exactly repeated
+rows are one document and keep or lose the same spans, and rows of one id with different texts are two; a document's own repeats stay; an empty table gives an empty result; further columns
+are ignored by `repeated_passages` and passed through by `remove_spans`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import int64s, nullable, partitions, raw_texts, stage, table, unstage
+from .common import int64s, nullable, partitions, raw_texts, stage, table
+from .shingles import M2, M3, mix, stretch_hashes, words_of
 
-MIN_UNIT = 4
-MIN_RUN = 20
+#: Words of a unit at least.
+LEAST = 33
+#: Of so many pairs of words that follow one another, one at least is a cut.
+WINDOW = 10
 
-#: Words of a unit at most: a longer sentence is hashed in pieces from its start.
-MAX_UNIT = 12
-
-PIECE = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+|\n")
-WORD = re.compile(r"\S+")
 UNITS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("tx", pa.int64()), ("k", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 UNITS_DDL = "h1 long, h2 long, doc_id long, tx long, k int, words int, start int, end int"
+RANK = ("doc_id", "tx", "k")
+FOUND = pa.schema([*UNITS, ("first_doc", pa.int64()), ("first_tx", pa.int64()), ("edge", pa.bool_())])
+FOUND_DDL = UNITS_DDL + ", first_doc long, first_tx long, edge boolean"
+SPANS_DDL = "doc_id long, tx long, start int, end int, words int, first_doc_ids array<long>"
 
 
-def units_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """(words, start, end, normalised) of the units that are hashed; offsets count characters and leave out white space at both ends.
+def cuts(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the words that begin a pair with the least hash (the last of equal ones) of some `window` pairs."""
+    r = mix(h[:-1] * M3 + mix(h[1:]))
+    if not len(r):
+        return np.zeros(0, dtype=np.int64)
+    window = min(window, len(r))
+    n = len(r) - window + 1
+    best, at = r[:n].copy(), np.arange(n)
+    for j in range(1, window):
+        less = r[j : j + n] <= best
+        np.copyto(best, r[j : j + n], where=less)
+        np.copyto(at, np.arange(j, j + n), where=less)
+    marked = np.zeros(len(r), dtype=bool)
+    marked[at] = True
+    return np.flatnonzero(marked)
+
+
+def units_of(text: bytes, least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """h1, h2, first word, words, start, end of each unit; offsets count characters."""
+    h, start, end = words_of(text)
+    b = cuts(h, window) if len(h) >= least else np.zeros(0, dtype=np.int64)
+    to = np.searchsorted(b, b + least - 2)
+    whole = to < len(b)
+    first, after = b[whole], b[to[whole]] + 2  # with both words of the pair
+    lead = np.zeros(len(text) + 1, dtype=np.int32)
+    if len(first):
+        np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80, out=lead[1:])
+    h1, h2 = stretch_hashes(h, first, after), stretch_hashes(mix(h ^ M2), first, after)
+    return h1.view(np.int64), h2.view(np.int64), first, after - first, lead[start[first]], lead[end[after - 1]]
+
+
+def _units(least: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, null, tx = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False), int64s(b["tx"])
+            held, owner, size = [], [], 0
 
-    A unit ends with a sentence, if it then has MIN_UNIT words, with a line, or at MAX_UNIT words; what is left of a line may be too short to be hashed.
-    """
-    words, start, end = [], 0, 0
-    for m in PIECE.finditer(text):
-        piece = m.group()
-        if piece == "\n":
-            if len(words) >= MIN_UNIT:
-                yield len(words), start, end, " ".join(words).encode("utf-8", "replace")
-            words = []
-            continue
-        own = piece.lower().split()
-        if not own:
-            continue
-        if len(words) + len(own) <= MAX_UNIT:
-            if not words:
-                start = m.start() + len(piece) - len(piece.lstrip())
-            words += own
-            end = m.start() + len(piece.rstrip())
-        else:
-            for w in WORD.finditer(text, m.start(), m.end()):
-                if len(words) == MAX_UNIT:
-                    yield len(words), start, end, " ".join(words).encode("utf-8", "replace")
-                    words = []
-                if not words:
-                    start = w.start()
-                words.append(w.group().lower())
-                end = w.end()
-        if len(words) >= MIN_UNIT:
-            yield len(words), start, end, " ".join(words).encode("utf-8", "replace")
-            words = []
-    if len(words) >= MIN_UNIT:
-        yield len(words), start, end, " ".join(words).encode("utf-8", "replace")
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_digest
-    for b in batches:
-        ids, null, tx = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False), int64s(b["tx"])
-        raw, owner, rows = [], [], []
-
-        def made() -> pa.RecordBatch:
-            h, at = np.frombuffer(b"".join(raw), dtype=np.int64).reshape(-1, 2), np.array(owner, dtype=np.int64)
-            x = np.array(rows, dtype=np.int32).reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), nullable(ids[at], null[at]), pa.array(tx[at]), *(pa.array(x[:, c]) for c in range(4))], schema=UNITS)
-
-        for i, text in enumerate(raw_texts(b["text"])):
-            for k, (words, start, end, norm) in enumerate(units_of((text or b"").decode("utf-8", "replace"))):
-                raw.append(digest(norm))
-                owner.append(i)
-                rows.append((k, words, start, end))
-            if len(raw) > 200_000:
+            def made() -> pa.RecordBatch:
+                h1, h2, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                at = np.repeat(owner, [len(x[0]) for x in held])
+                return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), nullable(ids[at], null[at]), pa.array(tx[at]), *(pa.array(x.astype(np.int32)) for x in rest)], schema=UNITS)
+
+            for i, text in enumerate(raw_texts(b["text"])):
+                own = units_of(text or b"", least, window)
+                if len(own[0]):
+                    held.append(own)
+                    owner.append(i)
+                    size += len(own[0])
+                if size > 200_000:
+                    yield made()
+                    held, owner, size = [], [], 0
+            if held:
                 yield made()
-                raw, owner, rows = [], [], []
-        yield made()
-
 
-FOUND = pa.schema([*UNITS, ("first_doc", pa.int64()), ("first_tx", pa.int64()), ("first_k", pa.int32()), ("kind", pa.int8())])
-FOUND_DDL = UNITS_DDL + ", first_doc long, first_tx long, first_k int, kind byte"
-LATER, OPEN, EDGE = 0, 1, 2
-SPANS_DDL = "doc_id long, tx long, start int, end int, words int, first_doc_ids array<long>"
-
-#: Of the digests of marks and, twice, of windows.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+    return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by digest and rank: LATER for what isn't a digest's first occurrence. The partition's first digest may have begun before: its rows are OPEN. EDGE: the first row of the partition's first and last digest."""
-    key, first, head = None, None, True
-
-    def report(rows: pa.RecordBatch, doc, null, tx, k, kind: int) -> pa.RecordBatch:
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([*rows.columns, nullable(doc, null), pa.array(tx), pa.array(k, pa.int32()), pa.array(np.full(n, kind, np.int8))], schema=FOUND)
+    """Sorted by digest and rank: what isn't the first occurrence of its digest in this partition, with that first; and as edges the first rows of the partition's first and last digest."""
 
-    def edge() -> pa.RecordBatch:
-        row, doc, null, tx, k = first
-        return report(row, np.array([doc]), np.array([null]), np.array([tx]), np.array([k]), EDGE)
+    def report(rows: pa.RecordBatch, doc, null, tx, edge: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, nullable(doc, null), pa.array(tx), pa.array(np.full(len(rows), edge))], schema=FOUND)
 
+    key = first = head = None
     for b in batches:
         if not len(b):
             continue
@@ -129,240 +114,112 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         lengths = np.diff(np.r_[starts, len(b)])
         fd, fn, ft, fk = doc[starts], null[starts], tx[starts], k[starts]
-        goes_on = key == (h1[0], h2[0])
-        if goes_on:
-            _, fd[0], fn[0], ft[0], fk[0] = first
-        elif key is not None and head:
-            yield edge()
-            head = False
-        if not goes_on:
-            first = (b.slice(0, 1), doc[0], null[0], tx[0], k[0])
+        if key == (h1[0], h2[0]):
+            fd[0], fn[0], ft[0], fk[0] = first[1:]
+        if key != (h1[0], h2[0]) or len(starts) > 1:
+            at = starts[-1]
+            first = (b.slice(at, 1), doc[at], null[at], tx[at], k[at])
+        if head is None:
+            yield report(b.slice(0, 1), doc[:1], null[:1], tx[:1], True)
+            head = (int(h1[0]), int(h2[0]))
+        key = (int(h1[-1]), int(h2[-1]))
         fd, fn, ft, fk = (np.repeat(x, lengths) for x in (fd, fn, ft, fk))
         # An exactly repeated row is the same occurrence.
         later = (doc != fd) | (null != fn) | (tx != ft) | (k != fk)
-        open_rows = np.zeros(len(b), dtype=bool)
-        if head:
-            open_rows[: lengths[0]] = True
-            mask = pa.array(open_rows)
-            yield report(b.filter(mask), fd[open_rows], fn[open_rows], ft[open_rows], fk[open_rows], OPEN)
-        later &= ~open_rows
         if later.any():
-            yield report(b.filter(pa.array(later)), fd[later], fn[later], ft[later], fk[later], LATER)
-        if len(starts) > 1:
-            if head:
-                yield edge()
-                head = False
-            at = starts[-1]
-            first = (b.slice(at, 1), doc[at], null[at], tx[at], k[at])
-        key = (int(h1[-1]), int(h2[-1]))
-    if key is not None:
-        yield edge()
-
-
-def _later_rows(units: DataFrame) -> DataFrame:
-    """doc_id, tx, k, words, start, end, first_doc of what isn't the first occurrence of its digest; deletes the staged units."""
-    n = partitions(units.sparkSession)
-    ranked = units.repartitionByRange(n, "h1", "h2", "doc_id", "tx", "k").sortWithinPartitions("h1", "h2", "doc_id", "tx", "k")
-    found = stage(ranked.mapInArrow(_later, FOUND_DDL), "found")
-    unstage(units)
-    # Null ids come first in rank, as in the sort.
-    rank = F.min(F.struct("first_doc", "first_tx", "first_k"))
-    firsts = found.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(rank.alias("f"))
-    # Two rows a partition at most, so that a hot digest's rows stay where they are.
-    late = found.where(F.col("kind") == OPEN).drop("first_doc", "first_tx", "first_k").join(F.broadcast(firsts), ["h1", "h2"])
-    same = F.col("doc_id").eqNullSafe(F.col("f.first_doc")) & (F.col("tx") == F.col("f.first_tx")) & (F.col("k") == F.col("f.first_k"))
-    columns = ["doc_id", "tx", "k", "words", "start", "end"]
-    late = late.where(~same).select(*columns, F.col("f.first_doc").alias("first_doc"))
-    return found.where(F.col("kind") == LATER).select(*columns, "first_doc").union(late)
-
-
-def _known(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tx"))
-
-
-def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, within_documents: bool = False) -> DataFrame:
-    """doc_id, tx, start, end, words, first_doc_ids (documents that keep the removed units) of every removed run of units."""
-    rows = _later_rows(stage(_known(docs).mapInArrow(_units, UNITS_DDL), "units"))
-    # One row a document: as long as its own units. collect_set, as repeated rows report the same units.
-    per = rows.groupBy("doc_id", "tx").agg(F.array_sort(F.collect_set(F.struct("k", "words", "start", "end", "first_doc"))).alias("units"))
-    return per.mapInArrow(_runs(min_run, within_documents), SPANS_DDL)
-
-
-class _Digests(dict):
-    """64-bit digests of words, made once a word."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return out
-
-
-_digests = _Digests()
-
-
-def grams(words: np.ndarray, size: int, by: int) -> np.ndarray:
-    """A digest of each `size` words that follow one another."""
-    n = max(len(words) - size + 1, 0)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(size):
-        out *= np.uint64(by)
-        out += words[j : j + n]
-    for by_shift in (0xD6E8FEB86659FD93, 0xCA5A826395121157):
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(by_shift)
-    return out ^ (out >> np.uint64(32))
-
+            yield report(b.filter(pa.array(later)), fd[later], fn[later], ft[later], False)
+    if key is not None and key != head:
+        row, doc, null, tx, _ = first
+        yield report(row, np.array([doc]), np.array([null]), np.array([tx]), True)
 
-def window_marks(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the digests of the words; of each window of `least` words, the least digest of its grams of half as many)."""
-    words = np.fromiter(map(_digests.__getitem__, text.lower().split()), dtype=np.uint64)
-    half = max(least // 2, 1)
-    n = max(len(words) - least + 1, 0)
-    of = grams(words, half, MULTIPLIERS[0])
-    out = of[:n].copy()
-    for j in range(1, least - half + 1):
-        np.minimum(out, of[j : j + n], out=out)
-    return words, out.view(np.int64)
 
+def _settled(shared: list[tuple]):
+    """What is later in its partition is so everywhere, but with the first of all; a partition's own first is later if another partition has an earlier one."""
+    firsts = {(h1, h2): (doc, tx, k) for h1, h2, doc, tx, k in shared}
+    known = np.unique(np.array([h1 for h1, *_ in shared], dtype=np.int64))
 
-def _marks(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, null, tx = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False), int64s(b["tx"])
-            own = [np.unique(window_marks((t or b"").decode("utf-8", "replace"), least)[1]) for t in raw_texts(b["text"])]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            h = np.concatenate(own) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), nullable(ids[at], null[at]), pa.array(tx[at])], names=["h", "doc_id", "tx"])
+            h1, h2, tx, k = int64s(b["h1"]), int64s(b["h2"]), int64s(b["tx"]), int64s(b["k"])
+            doc, null = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            fd, fn, ft = int64s(b["first_doc"]).copy(), b["first_doc"].is_null().to_numpy(zero_copy_only=False).copy(), int64s(b["first_tx"]).copy()
+            keep = ~b["edge"].to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(np.isin(h1, known))
+            if len(at):
+                pairs, group = np.unique(np.stack([h1[at], h2[at]], axis=1), axis=0, return_inverse=True)
+                for g, pair in enumerate(map(tuple, pairs.tolist())):
+                    if pair in firsts:
+                        own, (d, t, place) = at[group.ravel() == g], firsts[pair]
+                        fd[own], fn[own], ft[own] = d or 0, d is None, t
+                        keep[own] |= (doc[own] != (d or 0)) | (null[own] != (d is None)) | (tx[own] != t) | (k[own] != place)
+            keep &= (doc != fd) | (null != fn) | (tx != ft)  # a document's own repeats stay
+            mask = pa.array(keep)
+            out = [b[c].filter(mask) for c in ("doc_id", "tx", "k", "words", "start", "end")]
+            yield pa.RecordBatch.from_arrays([*out, nullable(fd[keep], fn[keep])], names=["doc_id", "tx", "k", "words", "start", "end", "first_doc"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by mark and document: the rows whose mark several documents have. What may go on in another batch stays, as later steps are exact."""
-    for b in batches:
-        if not len(b):
-            continue
-        h, doc, null = int64s(b["h"]), int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        ends = np.r_[starts[1:], len(b)] - 1
-        several = (doc[starts] != doc[ends]) | (null[starts] != null[ends])
-        several[0] = several[-1] = True
-        yield b.filter(pa.array(np.repeat(several, ends - starts + 1)))
-
-
-def _windows(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, null, tx = int64s(b["doc_id"]), b["doc_id"].is_null().to_numpy(zero_copy_only=False), int64s(b["tx"])
-            held, size = [], 0
-
-            def made() -> pa.RecordBatch:
-                h1, h2, k, start, end, at = (np.concatenate(x) for x in zip(*held, strict=True))
-                words = np.full(len(k), least, dtype=np.int32)
-                return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), nullable(ids[at], null[at]), pa.array(tx[at]), *(pa.array(x, pa.int32()) for x in (k, words, start, end))], schema=UNITS)
-
-            for i, (raw, marks) in enumerate(zip(raw_texts(b["text"]), b["marks"], strict=True)):
-                text = (raw or b"").decode("utf-8", "replace")
-                words, own = window_marks(text, least)
-                k = np.flatnonzero(np.isin(own, marks.values.to_numpy()))
-                if not len(k):
-                    continue
-                places = np.array([m.span() for m in WORD.finditer(text)], dtype=np.int32)
-                h1, h2 = (grams(words, least, by)[k].view(np.int64) for by in MULTIPLIERS[1:])
-                held.append((h1, h2, k, places[k, 0], places[k + least - 1, 1], np.full(len(k), i)))
-                size += len(k)
-                if size > 200_000:
-                    yield made()
-                    held, size = [], 0
-            if held:
-                yield made()
-
-    return run
-
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tx"))
 
-def repeated_passages(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
-    """doc_id, tx, start, end, words, first_doc_ids of every passage whose windows of `least` words all occur in an earlier document, wherever they begin.
 
-    Exact: a window that two documents have gives both the same mark, so it is compared; windows whose mark one document has alone are left out before the digests move.
-    """
+def repeated_passages(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """doc_id, tx, start, end, words, first_doc_ids (the documents that keep its units) of every span that goes."""
     n = partitions(docs.sparkSession)
-    marks = stage(_known(docs).mapInArrow(_marks(least), "h long, doc_id long, tx long"), "marks")
-    ranked = marks.repartitionByRange(n, "h", "doc_id", "tx").sortWithinPartitions("h", "doc_id", "tx")
-    shared = ranked.mapInArrow(_shared, "h long, doc_id long, tx long")
-    per = shared.groupBy(F.col("doc_id").alias("_d"), F.col("tx").alias("_t")).agg(F.collect_set("h").alias("marks"))
-    known = _known(docs)
-    both = known.join(per.hint("shuffle_hash"), known["doc_id"].eqNullSafe(F.col("_d")) & (known["tx"] == F.col("_t")))
-    units = stage(both.select("doc_id", "text", "tx", "marks").mapInArrow(_windows(least), UNITS_DDL), "windows")
-    unstage(marks)
-    rows = _later_rows(units).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    per = rows.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("k", "start", "end", "first_doc")).alias("windows"))
-    return per.mapInArrow(_joined(least), SPANS_DDL)
-
-
-def _spans(out: list[tuple]) -> pa.RecordBatch:
-    doc, tx, start, end, words, firsts = zip(*out, strict=True) if out else [()] * 6
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(tx, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-        names=["doc_id", "tx", "start", "end", "words", "first_doc_ids"],
-    )
-
-
-def _joined(least: int):
-    """Windows that overlap or touch, as one span."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, tx, windows in zip(b["doc_id"].to_pylist(), b["tx"].to_pylist(), b["windows"], strict=True):
-                k, start, end = (int64s(windows.values.field(c)) for c in ("k", "start", "end"))
-                order = np.argsort(k, kind="stable")
-                k, start, end, first = k[order], start[order], end[order], windows.values.field("first_doc").take(pa.array(order))
-                cuts = [0, *(np.flatnonzero(np.diff(k) > least) + 1).tolist(), len(k)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    firsts = sorted(first[lo:hi].unique().to_pylist(), key=lambda d: (d is not None, d or 0))
-                    out.append((doc, tx, int(start[lo]), int(end[hi - 1]), int(k[hi - 1] - k[lo]) + least, firsts))
-            yield _spans(out)
-
-    return run
-
-
-def _runs(min_run: int, within_documents: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, tx, units in zip(b["doc_id"].to_pylist(), b["tx"].to_pylist(), b["units"].to_pylist(), strict=True):
-                if not within_documents:
-                    units = [u for u in units if u["first_doc"] != doc]
-                at = 0
-                while at < len(units):
-                    end = at + 1
-                    while end < len(units) and units[end]["k"] == units[end - 1]["k"] + 1:
-                        end += 1
-                    part = units[at:end]
-                    words = sum(u["words"] for u in part)
-                    if words >= min_run:
-                        out.append((doc, tx, part[0]["start"], part[-1]["end"], words, sorted({u["first_doc"] for u in part}, key=lambda d: (d is not None, d or 0))))
-                    at = end
-            yield _spans(out)
-
-    return run
+    # Made twice, for the sample that gives the ranges and for the rows: cheaper on disk than a table of all units.
+    units = _known(docs).mapInArrow(_units(least, window), UNITS_DDL)
+    ranked = units.repartitionByRange(n, "h1", "h2", *RANK).sortWithinPartitions("h1", "h2", *RANK)
+    found = stage(ranked.mapInArrow(_later, FOUND_DDL), "found")
+    # Two rows a partition at most. Null ids come first in rank, as in the sort.
+    edges = found.where("edge").groupBy("h1", "h2").agg(F.min(F.struct(*RANK)).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "f.*")
+    rows = found.mapInArrow(_settled([tuple(r) for r in edges.collect()]), "doc_id long, tx long, k int, words int, start int, end int, first_doc long")
+    # One row a document: as long as its own units.
+    per = rows.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("k", "words", "start", "end", "first_doc")).alias("units"))
+    return per.mapInArrow(_joined, SPANS_DDL)
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs, with the removed spans cut out of text."""
-    per = spans.groupBy(F.col("doc_id").alias("_tq_d"), F.col("tx").alias("_tq_t")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_tq_s"))
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units that overlap or touch, as one span."""
+    for b in batches:
+        out = []
+        for doc, tx, units in zip(b["doc_id"].to_pylist(), b["tx"].to_pylist(), b["units"], strict=True):
+            k, words, start, end = (int64s(units.values.field(c)) for c in ("k", "words", "start", "end"))
+            order = np.argsort(k, kind="stable")
+            k, start, first = k[order], start[order], units.values.field("first_doc").take(pa.array(order))
+            reach, ends = np.maximum.accumulate(k + words[order]), np.maximum.accumulate(end[order])
+            heads = [0, *(np.flatnonzero(k[1:] > reach[:-1]) + 1).tolist(), len(k)]
+            for lo, hi in zip(heads, heads[1:], strict=False):
+                firsts = sorted(first[lo:hi].unique().to_pylist(), key=lambda d: (d is not None, d or 0))
+                out.append((doc, tx, int(start[lo]), int(ends[hi - 1]), int(reach[hi - 1] - k[lo]), firsts))
+        doc, tx, start, end, words, firsts = zip(*out, strict=True) if out else [()] * 6
+        columns = [pa.array(doc, pa.int64()), pa.array(tx, pa.int64()), *(pa.array(x, pa.int32()) for x in (start, end, words)), pa.array(firsts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tx", "start", "end", "words", "first_doc_ids"])
+
+
+def _cut(docs: DataFrame, spans: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    """(docs with their spans as _tq_s, what is left of text)."""
+    per = spans.groupBy(F.col("doc_id").alias("_tq_d"), F.col("tx").alias("_tq_t")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "first_doc_ids"))).alias("_tq_s"))
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("_tq_d")) & (F.xxhash64(docs["text"]) == F.col("_tq_t"))
-    both = docs.join(per.hint("shuffle_hash"), on, "left")
+    both = docs.join(per.hint("shuffle_hash"), on, how)
     size = F.size("_tq_s")
     # What lies between the spans.
     kept = F.transform(
         F.sequence(F.lit(0), size),
         lambda i: F.substring(docs["text"], F.when(i == 0, 1).otherwise(F.get("_tq_s", i - 1)["end"] + 1), F.when(i == size, F.length(docs["text"])).otherwise(F.get("_tq_s", i)["start"]) - F.when(i == 0, 0).otherwise(F.get("_tq_s", i - 1)["end"])),
     )
-    text = F.when(F.col("_tq_s").isNull(), docs["text"]).otherwise(F.array_join(kept, ""))
+    return both, F.when(F.col("_tq_s").isNull(), docs["text"]).otherwise(F.array_join(kept, ""))
+
+
+def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs, with the removed spans cut out of text."""
+    both, text = _cut(docs, spans, "left")
     return both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "words", "first_doc_ids")
+    """Every removed span, and the length and digest of what its document keeps; repeated rows have theirs each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both, text = _cut(docs, stage(repeated_passages(docs), "spans"), "inner")
+    kept = both.select("doc_id", "_tq_s", text.alias("kept")).select("doc_id", "_tq_s", F.length("kept").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.explode("_tq_s").alias("s"), "kept_chars", "kept_sha256").select("doc_id", "s.start", "s.end", "s.words", "s.first_doc_ids", "kept_chars", "kept_sha256")

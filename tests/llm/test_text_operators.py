@@ -56,6 +56,49 @@ def test_url_model_learns():
     assert ((model.score(texts[400:]) >= 0.5) == np.array(labels[400:])).mean() > 0.97
 
 
+def plain_judge(url):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host, best = host.translate(LOWER), None
+    for rule, verdict in url_filter.RULES:
+        name, start = rule.split("/", 1)
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + start) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, *(best or (None, None))
+
+
+def test_url_filter_on_the_table(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    urls = {r["page_id"]: r["url"] for r in table(spark, folder, "pages").collect()}
+    got = url_filter.op1_url_filter(spark, folder).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, verdict = plain_judge(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
+
+
+def test_url_model_on_pages_it_has_not_seen(spark, sf_dir):
+    """Half of what rules label is learnt, the other half judged."""
+    labelled = url_filter.labelled_by_rules(table(spark, sf_dir.replace("sf0.001", "sf0.1"), "pages"))
+    half = F.crc32(F.col("url").cast("binary")) % 2 == 0
+    model = url_filter.train(labelled.where(half))
+    host, path = url_filter.host_and_path(F.col("url"))
+    rest = labelled.where(~half).select(host.alias("h"), path.alias("p"), "label").collect()
+    right = (model.score(url_filter.framed([r["h"].encode() for r in rest], [r["p"].encode() for r in rest])) >= 0.5) == np.array([r["label"] for r in rest])
+    assert len(rest) > 100 and right.mean() > 0.95
+
+
+def test_urls_long_and_repeated(spark):
+    rows = [(1, "http://a.com/de/" + "x" * 200_000), (2, "http://u.info/de/1"), (2, "http://u.info/de/1"), (None, None), (3, "http://" + "h" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge(pages, url_filter.train(spark.createDataFrame([("http://a/de/1", 1), ("http://a/fr/1", 0)] * 3, "url string, label int"), most=4)).collect()
+    assert len(got) == 5 and len({(r["host"], r["path"], r["verdict"], r["score"]) for r in got if r["page_id"] == 2}) == 1
+    assert {r["page_id"]: len(r["path"]) for r in got}[1] == 200_004
+
+
 # --- 2: lines ------------------------------------------------------------------------------------------------------
 
 
@@ -122,6 +165,20 @@ def test_quality_edges(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_model_is_its_tables(spark, sf_dir):
+    """The scores of whole texts, term by term from the tables; a repeated document is learnt once."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels)
+    again = quality.train(docs.union(docs).repartition(7), labels.union(labels))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        x = quality.features(r["text"].encode())
+        place = lambda edges, v: sum(e <= v for e in edges)
+        z = model.bias + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, x, strict=True)) + sum(t[place(c, x[f]), place(d, x[g])] for (f, g), (c, d, t) in model.pairs.items())
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True))
+
+
 @pytest.mark.parametrize("word", [b"ALL", b"Don't", b"\"Quoted\"", b"Well-known", b"plain"])
 def test_quality_capital_words_at_every_length(word):
     k = quality.NAMES.index("capital_words")
@@ -130,83 +187,130 @@ def test_quality_capital_words_at_every_length(word):
 
 # --- 5: passages ---------------------------------------------------------------------------------------------------
 
-PASSAGE = " ".join(f"The {a} {b} went along the {c} river." for a, b, c in zip("red big old new odd dry wet".split(), "fox dog cat cow owl ape bee".split(), "long wide deep cold slow fast dark".split(), strict=True))
-
-
-def brute_spans(rows, least):
-    first, docs = {}, sorted({(d, t) for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
-    for d, t in docs:
-        for _, _, _, norm in substring_dedup.units_of(t or ""):
-            first.setdefault(norm, d)
-    out = set()
-    for d, t in docs:
-        run = []
-        for unit in [*substring_dedup.units_of(t or ""), None]:
-            if unit and first[unit[3]] != d:
-                run.append(unit)
-                continue
-            if sum(u[0] for u in run) >= least:
-                out.add((d, run[0][1], run[-1][2], sum(u[0] for u in run), tuple(sorted({first[u[3]] for u in run}))))
-            run = []
-    return out
 
+def plain_words(text):
+    return [(m.group().translate(LOWER), *m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
 
-def passages(spark):
-    rows = [(i, f"Document {i} starts with some {i * 7} words of its own" + (f" and {PASSAGE}" if i % 3 == 0 else "") + f"\nIt ends in place {i}.") for i in range(40)]
-    return rows, spark.createDataFrame([(d, t, "x") for d, t in rows + rows[:3]], "doc_id long, text string, start string").repartition(5)
 
+def word_runs(rows, least):
+    """By document, the places of words that lie in a window of `least` words which an earlier document has."""
+    first, out = {}, {}
+    for d, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
+        words = [w for w, _, _ in plain_words(t)]
+        windows = [tuple(words[k : k + least]) for k in range(len(words) - least + 1)]
+        out[d, t] = {i for k, w in enumerate(windows) if first.setdefault(w, (d, t)) != (d, t) for i in range(k, k + least)}
+    return out
 
-def test_repeated_passages(spark):
-    rows, docs = passages(spark)
-    spans = substring_dedup.repeated_spans(docs)
-    got = {(r["doc_id"], r["start"], r["end"], r["words"], tuple(r["first_doc_ids"])) for r in spans.collect()}
-    assert got == brute_spans(rows, 20)
-    assert {g[0] for g in got} == {i for i in range(1, 40) if i % 3 == 0}
-    texts = dict(rows)
-    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(docs, spans).collect()}
-    for d, start, end, *_ in got:
-        assert cut[d] == texts[d][:start] + texts[d][end:]
-    assert all(cut[d] == t for d, t in rows if d % 3)
 
+def reported(rows, spans):
+    out = {(d, t): set() for d, t in rows}
+    texts = {d: t for d, t in rows}
+    for r in spans:
+        words = plain_words(texts[r["doc_id"]])
+        at = [i for i, (_, lo, hi) in enumerate(words) if lo >= r["start"] and hi <= r["end"]]
+        assert words[at[0]][1] == r["start"] and words[at[-1]][2] == r["end"] and len(at) == r["words"]
+        out[r["doc_id"], texts[r["doc_id"]]] |= set(at)
+    return out
 
-def test_repeated_passages_edges(spark):
-    docs = edges.documents(spark)
-    assert {r["doc_id"] for r in substring_dedup.repeated_spans(docs).collect()} == {8}
-    assert substring_dedup.repeated_spans(edges.empty(spark)).count() == 0
-    assert substring_dedup.remove_spans(docs, substring_dedup.repeated_spans(docs)).count() == docs.count()
-
-
-def brute_passages(rows, least):
-    first, out = {}, set()
-    for d, t in sorted(rows):
-        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", t)]
-        windows = [tuple(w for w, _, _ in words[k : k + least]) for k in range(len(words) - least + 1)]
-        hits = {k: first[w] for k, w in enumerate(windows) if first.setdefault(w, d) != d}
-        covered = sorted({i for k in hits for i in range(k, k + least)})
-        while covered:
-            n = next((n for n in range(1, len(covered)) if covered[n] != covered[n - 1] + 1), len(covered))
-            lo, hi, covered = covered[0], covered[n - 1], covered[n:]
-            out.add((d, words[lo][1], words[hi][2], hi - lo + 1, tuple(sorted({f for k, f in hits.items() if lo <= k <= hi}))))
+
+def runs(places):
+    places, out = sorted(places), []
+    for i in places:
+        if out and out[-1][-1] == i - 1:
+            out[-1].append(i)
+        else:
+            out.append([i])
     return out
 
 
-def test_passages_that_start_and_end_inside_sentences(spark, tmp_path):
-    rng = np.random.default_rng(5)
-    said = lambda n: " ".join(f"{'Ab'[rng.integers(2)]}{rng.integers(3000)}" + (" " * rng.integers(1, 3) if rng.random() < 0.1 else "\n" if rng.random() < 0.05 else "") for _ in range(n))
-    whole = said(400)
-    parts = [x.group() for x in re.finditer(r"\S+\s*", whole)]
-    rows = [(0, f"One {whole} end.")]
+def check_spans(rows, spans):
+    """Both ways, against windows of words: passages of over 50 words but for their ends, and nothing that isn't repeated for LEAST words."""
+    got, long, short = reported(rows, spans), word_runs(rows, 51), word_runs(rows, substring_dedup.LEAST)
+    w, found = substring_dedup.WINDOW, 0
+    for key in got:
+        assert got[key] <= short[key]
+        for run in runs(long[key]):
+            found += 1
+            assert set(run[w - 1 : len(run) - 2 * w + 2]) <= got[key], key
+    return found
+
+
+def passages(seed):
+    """Documents with parts of 20 to 80 words of one text anywhere in their own, short unique lines between repeated ones, and upper-cased and respaced copies."""
+    rng = np.random.default_rng(seed)
+    said = lambda n: " ".join(f"{'Aé'[rng.integers(2)]}{rng.integers(3000)}" + (" " * rng.integers(1, 3) if rng.random() < 0.1 else "\n" if rng.random() < 0.05 else "") for _ in range(n))
+    parts = [x.group() for x in re.finditer(r"\S+\s*", said(400))]
+    rows = [(0, f"One {''.join(parts)} end.")]
     for i in range(1, 60):
-        lo, n = int(rng.integers(0, 330)), int(rng.choice([19, 20, 51, 60]))
-        rows.append((i, f"{said(int(rng.integers(1, 15)))} {''.join(parts[lo : lo + n]).upper()} {said(int(rng.integers(0, 15)))} and so on."))
-    spark.createDataFrame([(d, t) for d, t in rows + rows[:4]], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r["doc_id"], r["start"], r["end"], r["words"], tuple(r["first_doc_ids"])) for r in substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_passages(rows, 20) and len(got) > 30
+        lo, n = int(rng.integers(0, 320)), int(rng.choice([20, 32, 51, 60, 80]))
+        part = "".join(parts[lo : lo + n])
+        rows.append((i, f"{said(int(rng.integers(1, 15)))} {part.replace('A', 'a') if i % 2 else part} {said(int(rng.integers(0, 15)))} and so on."))
+    for i in range(60, 70):
+        rows.append((i, f"{''.join(parts[100:151])}\nMy pin: {i * 37}\n{''.join(parts[200:251])}"))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_repeated_passages(spark, tmp_path, seed):
+    rows = passages(seed)
+    spark.createDataFrame([(d, t, "x") for d, t in rows + rows[:4]], "doc_id long, text string, start string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spans = substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect()
+    assert len(spans) == len({(r["doc_id"], r["start"]) for r in spans}) + sum(r["doc_id"] < 4 for r in spans) / 2
+    assert check_spans(rows, spans) > 30
+    docs = table(spark, str(tmp_path), "documents")
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(docs, substring_dedup.repeated_passages(docs)).collect()}
+    gone = defaultdict(list)
+    for r in spans:
+        gone[r["doc_id"]].append((r["start"], r["end"]))
+    for d, t in rows:
+        at, kept = 0, ""
+        for lo, hi in sorted(set(gone[d])):
+            kept, at = kept + t[at:lo], hi
+        assert cut[d] == kept + t[at:]
+        assert {(r["kept_chars"], r["kept_sha256"]) for r in spans if r["doc_id"] == d} <= {(len(cut[d]), hashlib.sha256(cut[d].encode()).hexdigest())}
+    assert all(f"{i * 37}\n" in cut[i] for i in range(60, 70))
+
+
+def test_hot_passage_over_many_partitions(spark):
+    rows = passages(8)
+    hot = " ".join(f"hot{i}" for i in range(90))
+    rows += [(i, f"own{i} words{i} {hot} tail{i}") for i in range(100, 900)] + [(i, hot) for i in range(900, 1000)]
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(11)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        spans = substring_dedup.repeated_passages(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert check_spans(rows, spans) > 900
+    assert {min(r["first_doc_ids"]) for r in spans if r["doc_id"] > 100} == {100}
+
+
+def test_repeated_passages_on_the_table(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
+    assert check_spans(rows, substring_dedup.op5_substring_dedup(spark, sf_dir).collect()) > 0
+
+
+def test_cuts_are_the_words_own():
+    rng, w = np.random.default_rng(1), substring_dedup.WINDOW
+    h = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for n in (0, 1, 2, 5, 60):
+        assert set(substring_dedup.cuts(h[:n]).tolist()) <= set(range(max(n - 1, 0)))
+    whole = substring_dedup.cuts(np.concatenate([rng.integers(0, 2**63, 33, dtype=np.uint64), h, rng.integers(0, 2**63, 9, dtype=np.uint64)])) - 33
+    own = [c for c in substring_dedup.cuts(h).tolist() if w <= c < 58 - w]
+    assert own == [c for c in whole.tolist() if w <= c < 58 - w]
+    assert np.diff(whole).max() <= substring_dedup.WINDOW
 
 
 def test_passages_of_edges(spark):
-    assert {r["doc_id"] for r in substring_dedup.repeated_passages(edges.documents(spark)).collect()} == {8}
+    docs = edges.documents(spark)
+    spans = substring_dedup.repeated_passages(docs)
+    assert {r["doc_id"] for r in spans.collect()} == {8}
+    assert substring_dedup.remove_spans(docs, spans).count() == docs.count()
     assert substring_dedup.repeated_passages(edges.empty(spark)).count() == 0
+    text = " ".join(f"w{i}" for i in range(70))
+    rows = spark.createDataFrame([(None, text), (None, text), (None, text + " more"), (3, text), (3, None), (4, text + " " + text)], "doc_id long, text string")
+    assert {(r["doc_id"], tuple(r["first_doc_ids"])) for r in substring_dedup.repeated_passages(rows).collect()} == {(None, (None,)), (3, (None,)), (4, (None,))}
 
 
 # --- 6: near-duplicates --------------------------------------------------------------------------------------------
@@ -254,6 +358,30 @@ def test_near_duplicates(spark, monkeypatch, width, block):
     assert got == brute_near(rows, width)
 
 
+def test_near_duplicates_of_a_short_template(spark, monkeypatch):
+    """Thousands of texts that share bands but no link: blocks are bounded by documents too."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", 300)
+    held = []
+    plain = near_dedup.compare
+    monkeypatch.setattr(near_dedup, "compare", lambda left, right, *a: held.append(len(left) * len(right)) or plain(left, right, *a))
+    rows = [(i, f"your order number {i} has shipped") for i in range(3000)] + [(5000 + i, f"your order number {i} has shipped") for i in range(0, 3000, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, 2).collect()}
+    assert got == {(d, 5, int(t.split()[3])) for d, t in rows}
+
+
+def test_compare_in_tiles(monkeypatch):
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(150)]
+    left, right = list(range(100)), list(range(50, 150))
+    linked = lambda: near_dedup.compare(left, right, sets, near_dedup.Forest(list(range(150))), 40)
+    whole = linked()
+    monkeypatch.setattr(near_dedup, "TILE", 7)
+    assert len(linked()) == len(whole) > 10
+    for i, j in whole:
+        assert shingles.jaccard_at_least(sets[i], sets[j], 40)
+
+
 def test_near_duplicates_edges(spark):
     docs = edges.documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -304,11 +432,68 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(edges.empty(spark)).count() == 0
 
 
+OWN = [licenses.Template(*t) for t in licenses.TEMPLATES]
+
+
 def test_license_at_the_least_coverage():
     text = licenses.TEMPLATES[2][1]
     for word in ("hereby", "granted", "charge", "obtaining"):
         text = text.replace(word, f"x{word}")
-    assert [(f[0], f[3]) for f in licenses.scan(text)] == [("MIT", 23)]
+    assert [(f[0], f[3]) for f in licenses.scan(text, OWN)] == [("MIT", 23)]
+
+
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+def test_every_template_is_found_whole(k):
+    """Also inside other words, misspelt, and with words put in."""
+    name, text = licenses.TEMPLATES[k]
+    noise = "Some words of a page that stand before and after it and are not of the text at all."
+    for changed in (text, text.upper().replace(" ", "\n * "), re.sub(r"(?i)licen[sc]e(?=d? )", "licens", text, count=1) if len(text.split()) > 8 else text, text.replace(" the ", " the very old ", 3)):
+        found = licenses.scan(f"{noise} {changed} {noise}", OWN)
+        assert [f[0] for f in found] == [name], changed
+        whole = f"{noise} {changed} {noise}"[found[0][1] : found[0][2]]
+        assert changed.strip().startswith(whole[:8]) or found[0][4] < 1
+
+
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = best[:]
+        for j, y in enumerate(b):
+            best[j + 1] = before[j] + 1 if x == y else max(best[j], before[j + 1])
+    return best[-1]
+
+
+def test_license_scan_against_brute_force():
+    """Every stretch of every text: where an alignment of one covers a template there is a find in it or over it, and no find without a common subsequence as long."""
+    rng = np.random.default_rng(2)
+    short = [t for t in OWN if len(t.words) <= 30]
+    vocabulary = sorted({w for t in short for w in t.words})
+    for _ in range(60):
+        words = []
+        for _ in range(3):
+            words += rng.choice(vocabulary, rng.integers(0, 12)).tolist()
+            part = list(short[rng.integers(len(short))].words)
+            for _ in range(rng.integers(0, 5)):
+                at = rng.integers(len(part))
+                part[at : at + rng.integers(0, 2)] = [str(rng.choice(vocabulary))] * rng.integers(0, 2)
+                part = part or ["x"]
+            words += part
+        found = licenses.scan(" ".join(words), OWN)
+        places = [(m.start(), m.end()) for m in re.finditer(r"\S+", " ".join(words))]
+        for _, start, end, matched, coverage in found:
+            own = [w for w, (lo, hi) in zip(words, places, strict=True) if start <= lo and hi <= end]
+            assert any(coverage == matched / len(t.words) and longest_common(own, t.words) >= matched >= t.need for t in OWN)
+        for t in short:
+            for at in range(len(words)):
+                pairs = licenses.align(words[at : at + t.reach], t.words)
+                if len(pairs) >= t.need:
+                    lo, hi = places[at + pairs[0][0]][0], places[at + pairs[-1][0]][1]
+                    assert any(f[1] < hi and f[2] > lo for f in found), (t.name, words)
+
+
+def test_license_templates_are_an_argument(spark):
+    docs = spark.createDataFrame([(1, "Use it kindly, dear reader, and pass it on."), (2, "Licensed under the MIT License.")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, (("Kind", "use it kindly dear reader"),)).collect()] == [(1, "Kind")]
 
 
 def test_license_scan_finds_all_notices(spark, sf_dir):
