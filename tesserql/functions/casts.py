@@ -66,5 +66,13 @@ def time(x: Value) -> Column:
     return time_of(seconds(x))
 
 
+#: Character sets and what the JVM calls them.
+CHARSETS = {"utf8": "UTF-8", "utf8mb3": "UTF-8", "utf8mb4": "UTF-8", "latin1": "ISO-8859-1", "ascii": "US-ASCII", "utf16": "UTF-16BE", "utf16le": "UTF-16LE", "utf32": "UTF-32", "binary": "UTF-8"}
+
+
 def convert_using(x: Value, charset: str) -> Column:
-    return F.decode(F.encode(text(x), charset), charset)
+    """A character that the set lacks becomes a question mark, character by character, as texts stay texts."""
+    name = CHARSETS.get(charset.lower(), charset)
+    if name not in ("ISO-8859-1", "US-ASCII"):
+        return F.decode(F.encode(text(x), name), name)
+    return F.regexp_replace(text(x), "[^\\x{00}-\\x{7F}]" if name == "US-ASCII" else "[^\\x{00}-\\x{FF}]", "?")

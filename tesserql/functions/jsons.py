@@ -70,12 +70,19 @@ def walk(value, steps: list[tuple[str, object]]) -> list:
     return found
 
 
-def json_extract(doc: Value, *paths: str) -> Column:
-    """JSON text of what the paths find; an array for several paths or wildcards; NULL for nothing."""
-    doc, steps = text(doc), [legs(p) for p in paths]
-    many = len(paths) > 1 or any(kind in ("*", "**") for s in steps for kind, _ in s)
-    if not many and all(kind == "member" and re.fullmatch(r"\w+", name) for kind, name in steps[0]):
-        return F.to_json(F.variant_get(F.try_parse_json(doc), paths[0].replace(" ", ""), "variant"))
+def _many(paths: list[str]) -> bool:
+    """Whether what is found comes as an array."""
+    return len(paths) > 1 or any(kind in ("*", "**") for p in paths for kind, _ in legs(p))
+
+
+def plain(paths: list[str]) -> bool:
+    """Whether an expression of built-in functions can follow the paths."""
+    return not _many(paths) and all(kind == "member" and re.fullmatch(r"\w+", name) for kind, name in legs(paths[0]))
+
+
+def extractor(paths: list[str]):
+    """A function of JSON texts, in batches, that walks paths which no expression can."""
+    steps, many = [legs(p) for p in paths], _many(paths)
 
     @F.pandas_udf("string")
     def extract(s: pd.Series) -> pd.Series:
@@ -89,7 +96,14 @@ def json_extract(doc: Value, *paths: str) -> Column:
 
         return s.map(one)
 
-    return extract(doc)
+    return extract
+
+
+def json_extract(doc: Value, *paths: str) -> Column:
+    """JSON text of what the paths find; an array for several paths or wildcards; NULL for nothing."""
+    if plain(paths):
+        return F.to_json(F.variant_get(F.try_parse_json(text(doc)), paths[0].replace(" ", ""), "variant"))
+    return extractor(list(paths))(text(doc))
 
 
 def json_unquote(value: Value) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.base import unquoted
 from ..plans.sharding import ShardFunction
 from .staging import numbered
 
@@ -29,18 +30,10 @@ def split_load(df: DataFrame, column: str, function: ShardFunction, path: str, f
 
 INSERT = re.compile(r"(?is)\s*(?:(?:/\*.*?\*/|--[ \t][^\n]*|\#[^\n]*)\s*)*(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?(?:INTO\s+)?(?:`?\w+`?\.)?`?(\w+)`?\s*(?:\([^)]*\)\s*)?VALUES\s*")
 FIELD = re.compile(r"\s*(?:_binary\s*)?('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|[^\s,()'\"]+)\s*([,)])", re.S | re.I)
-#: What a backslash makes of the letter after it; others stand for themselves.
-ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 #: Where a dump is cut; what then isn't a whole statement goes on in the next piece.
 END = ";\n"
 
 
-def unquoted(raw: str) -> str:
-    """The text that a quoted literal stands for."""
-    mark = raw[0]
-    return re.sub(rf"\\(.)|{mark}{mark}", lambda m: ESCAPES.get(m[1], m[1]) if m[1] else mark, raw[1:-1], flags=re.S)
-
-
 def values_of(statement: str) -> tuple[str, list[list[str | None]]] | None:
     """The table and the rows of an INSERT ... VALUES; NULL is None, other fields are the texts they stand for. None for another statement; a row that can't be read is an error."""
     m = INSERT.match(statement)
