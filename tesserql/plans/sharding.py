@@ -61,6 +61,10 @@ class ShardFunction:
     def between(self, low, high) -> set[int] | None:
         return None
 
+    def shards(self) -> set[int]:
+        """All shards that there can be; of functions without an end, none."""
+        return set()
+
     def any_of(self, values: Iterable) -> set[int] | None:
         found = {self.of(v) for v in values}
         return None if None in found else found
@@ -102,6 +106,9 @@ class Hash(ShardFunction):
         slot = F.pmod(c.cast("long"), F.lit(len(self.table)).cast("long"))
         return F.when(c.isNull(), F.lit(0)).otherwise(slot_to_shard(slot, self.table))
 
+    def shards(self) -> set[int]:
+        return set(self.table)
+
     def of(self, value) -> int | None:
         return 0 if value is None else self.table[int(value) % len(self.table)]
 
@@ -175,6 +182,9 @@ class StringHash(ShardFunction):
         slot = F.pmod(text_hash(c.cast("string"), self.start, self.end), F.lit(len(self.table)).cast("long"))
         return F.when(c.isNull(), F.lit(0)).otherwise(slot_to_shard(slot, self.table))
 
+    def shards(self) -> set[int]:
+        return set(self.table)
+
     def of(self, value) -> int | None:
         return 0 if value is None else self.table[sliced_hash(str(value), self.start, self.end) % len(self.table)]
 
@@ -192,6 +202,9 @@ class NumberRange(ShardFunction):
             out = F.when(c.between(low, high), F.lit(shard)).otherwise(out)
         return out
 
+    def shards(self) -> set[int]:
+        return {s for _, _, s in self.spans} | ({self.default} - {None})
+
     def of(self, value) -> int | None:
         return next((s for low, high, s in self.spans if value is not None and low <= int(value) <= high), self.default)
 
@@ -213,15 +226,18 @@ class NumberRange(ShardFunction):
 class Enumeration(ShardFunction):
     """Exact values."""
 
-    shards: dict
+    values: dict
     default: int | None = None
 
     def shard(self, c: Column) -> Column:
-        pairs = [x for k, v in self.shards.items() for x in (F.lit(k), F.lit(v))]
+        pairs = [x for k, v in self.values.items() for x in (F.lit(k), F.lit(v))]
         return F.coalesce(F.try_element_at(F.create_map(*pairs), c), F.lit(self.default).cast("int"))
 
+    def shards(self) -> set[int]:
+        return set(self.values.values()) | ({self.default} - {None})
+
     def of(self, value) -> int | None:
-        return self.shards.get(value, self.default)
+        return self.values.get(value, self.default)
 
 
 @dataclass
@@ -241,6 +257,9 @@ class DateRange(ShardFunction):
         at = at if self.count is None else F.pmod(at, F.lit(self.count).cast("long"))
         return F.when(c >= F.lit(self.begin), at.cast("int")).otherwise(F.lit(self.default).cast("int"))
 
+    def shards(self) -> set[int]:
+        return set(range(self.count or 0)) | ({self.default} - {None})
+
     def of(self, value) -> int | None:
         if value is None or value < self.begin:
             return self.default
@@ -273,6 +292,9 @@ class Pattern(ShardFunction):
         n = c.cast("string").try_cast("long")
         return F.when(n.isNull(), F.lit(self.default).cast("int")).otherwise(NumberRange(self.spans, self.default).shard(F.pmod(n, F.lit(self.modulus).cast("long"))))
 
+    def shards(self) -> set[int]:
+        return {s for _, _, s in self.spans} | ({self.default} - {None})
+
     def of(self, value) -> int | None:
         try:
             return NumberRange(self.spans, self.default).of(int(value) % self.modulus)
@@ -312,6 +334,9 @@ class JumpHash(ShardFunction):
 
         return F.when(c.isNull(), F.lit(0)).otherwise(jump(text_hash(c.cast("string"), self.start, self.end)))
 
+    def shards(self) -> set[int]:
+        return set(range(self.buckets))
+
     def of(self, value) -> int | None:
         key = sliced_hash(str(value), self.start, self.end) if value is not None else None
         return 0 if key is None else int(jump_buckets(np.array([key % WRAP], dtype=np.uint64), self.buckets)[0])
