@@ -102,14 +102,13 @@ def _cut(vocabulary: str, capacity: int):
     return run
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences): exact complements first, then best fit of what is left.
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list[tuple[tuple[int, ...], int]]]:
+    """(depth of the index, [(lengths, number of sequences)]): exact complements first, then best fit of what is left.
 
     Complements of up to three lengths spend small lengths that best fit could use better, or not, as the counts have it: of the plans whose index holds
-    single lengths, also pairs, and also triples, the one with the fewest sequences is taken.
+    single lengths (depth 1), also pairs (2), and also triples (3), the one with the fewest sequences is taken, the deepest of equal ones.
     """
-    plans = [_plan(counts, capacity, depth) for depth in (3, 2, 1)]
-    return min(plans, key=lambda p: sum(m for _, m in p))
+    return min(((depth, _plan(counts, capacity, depth)) for depth in (3, 2, 1)), key=lambda p: sum(m for _, m in p[1]))
 
 
 def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
@@ -203,18 +202,21 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece, and the depth of the index that the plan came from."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = stage(texts.mapInArrow(_cut(vocabulary, capacity), "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"), "pieces")
     counted = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     totals = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    found = sorted((n, first, sequence, offset) for n, first, _, sequence, offset in slots(plan(totals, capacity)))
+    depth, patterns = plan(totals, capacity)
+    found = sorted((n, first, sequence, offset) for n, first, _, sequence, offset in slots(patterns))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition of the scan
     base = counted.select(F.col("length").alias("_l"), F.col("part").alias("_p"), F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(base, (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p"))).withColumn("rank", F.col("base") + F.col("nth"))
+    # As many rows as lengths times partitions: not for a broadcast.
+    ranked = pieces.join(base.hint("shuffle_hash"), (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p"))).withColumn("rank", F.col("base") + F.col("nth"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_place(np.array(found, dtype=np.int64).reshape(-1, 4)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(_place(np.array(found, dtype=np.int64).reshape(-1, 4)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("index_depth", F.lit(depth))
 
 
 PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
