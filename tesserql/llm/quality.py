@@ -4,7 +4,7 @@ Each feature of a text is cut into at most BINS quantile bins. Boosting goes rou
 shallow tree to one feature's bins at a time and adds its leaves to that feature's table; then the pairs of features
 with the largest gain get tables of their own in the same way. The model is these tables, so a
 document's score is a sum of table entries, looked up for a whole batch at once. It is trained on at
-most MAX_LABELLED labelled rows, the first in the order of a hash.
+most MAX_LABELLED labelled rows, the first in the order of a hash; of documents with one id, the row with the least features counts.
 
 Defined results: a null text is scored as an empty one; each row is scored by itself, repeated rows alike; labels that are null, or belong to no
 document, don't count; without labels of both kinds the score is the share of label 1, smoothed (0.5 without labels); a null doc_id counts
@@ -204,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Addit
             x = matrix(raw_texts(b["text"]))
             yield pa.RecordBatch.from_arrays([b["_d"].cast(pa.int64()), b["quality"].cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], names=["d", "y", "x"])
 
-    rows = known.mapInArrow(run, "d long, y int, x array<double>").limit(2 * most).toArrow().combine_chunks()
+    # One row of each label, also where documents repeat: `most` at most.
+    rows = known.mapInArrow(run, "d long, y int, x array<double>").groupBy("d", "y").agg(F.min("x").alias("x")).toArrow().combine_chunks()
     if not len(rows):
         return AdditiveModel.fit(np.zeros((0, width)), np.zeros(0))
     x, y, d = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, width), rows["y"].to_numpy().astype(float), rows["d"].to_numpy()
