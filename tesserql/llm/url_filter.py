@@ -126,9 +126,10 @@ def labelled_by_rules(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def train(labelled: DataFrame, most: int = MAX_LABELLED) -> UrlModel:
-    """From a small table of (url, label 0 or 1); label 1 is block. Rows with a null label don't count."""
+    """From a small table of (url, label 0 or 1), its first `most` rows in the order of a hash; label 1 is block. Rows with a null label don't count."""
     host, path = host_and_path(F.col("url"))
-    rows = labelled.where(F.col("label").isNotNull()).select(host.alias("h"), path.alias("p"), "label").limit(most).toArrow()
+    known = labelled.where(F.col("label").isNotNull()).orderBy(F.xxhash64("url"), "url", "label").limit(most)
+    rows = known.select(host.alias("h"), path.alias("p"), "label").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("p", "ascending"), ("label", "ascending")])
     return UrlModel.fit(framed(list(raw_texts(rows["h"])), list(raw_texts(rows["p"]))), rows["label"].to_pylist())
 
