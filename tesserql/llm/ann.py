@@ -4,8 +4,9 @@ A product quantiser gives each pair of dimensions a code of four bits. Its loss
 the vector ETA times as much as the part across it, as that part alone moves the largest inner products; codes
 and centres are found by coordinate descent on that loss. The quantiser is fitted on at most SAMPLE
 vectors (the first in the order of a hash); every vector is encoded. A search adds, for each
-byte of codes, one entry of a query's table to all queries of a block at once, takes the RERANK best of each
-block of the index among its different vectors, and scores these exactly on the original vectors in double precision.
+byte of codes, one entry of a query's table to all queries of a block at once, and scores exactly, on the original vectors in double precision, those that
+are among the query's RERANK best by these sums of all different vectors that its cell has met so far: of B blocks of a cell that is about RERANK * (1 + 1/2 + ... + 1/B) vectors a query,
+whatever the number of vectors.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; a vector meets only vectors of its
 own length; of rows with one vec_id the largest vector counts, so repeated rows count once; rows without vec_id take no part; equal scores go to
@@ -24,10 +25,12 @@ from .vectors import BLOCK_ROWS, QUERY_ROWS, Best, blocks, distinct, grid, pack,
 K = 20
 EVERY = 20
 SAMPLE = 4096
-RERANK = 512
+RERANK = 256
 CENTRES = 16
 WIDTH = 2
 THRESHOLD = 0.2
+#: ETA for short vectors, where the threshold alone would give plain product quantisation.
+LEAST_ETA = 2.0
 ROUNDS = 8
 
 
@@ -68,7 +71,7 @@ class Quantiser:
         """From a sample, in which equal vectors count once; the same sample gives the same quantiser."""
         v = np.unique(v, axis=0)
         dim = v.shape[1]
-        eta = max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
+        eta = max(LEAST_ETA, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
         x = cls.split(v)
         rng = np.random.default_rng(0)
         centres = np.stack([x[rng.choice(len(x), CENTRES, replace=len(x) < CENTRES), m] for m in range(x.shape[1])])
@@ -107,6 +110,8 @@ def cell_of(quantisers: dict[int, np.ndarray], k: int = K):
         def __init__(self, queries: dict[str, np.ndarray]):
             self.ids, self.v = queries["ids"], queries["v"]
             self.kept = Best(len(self.ids), k, float)
+            self.top = np.full((len(self.ids), RERANK), -np.inf, dtype=np.float32)
+            self.reranked = 0
             centres = quantisers[self.v.shape[1]]
             tables = np.einsum("qmd,mkd->mkq", Quantiser.split(self.v), centres).astype(np.float32)
             # Two codes of four bits a byte: the sum of their entries, for all queries.
@@ -120,9 +125,14 @@ def cell_of(quantisers: dict[int, np.ndarray], k: int = K):
                     sums[at : at + 512] += self.tables[m][codes[at : at + 512, m]]
             sums = sums.T
             for at in range(0, len(self.ids), 256):
-                part = np.ascontiguousarray(sums[at : at + 256])
+                part, top = np.ascontiguousarray(sums[at : at + 256]), self.top[at : at + 256]
                 near = np.argpartition(part, len(v) - RERANK, axis=1)[:, len(v) - RERANK :] if len(v) > RERANK else np.tile(np.arange(len(v)), (len(part), 1))
+                sure = np.take_along_axis(part, near, axis=1)
+                top[:] = np.partition(np.concatenate([top, sure], axis=1), sure.shape[1], axis=1)[:, sure.shape[1] :]
+                among = sure >= top.min(axis=1)[:, None]
+                self.reranked += int(among.sum())
                 for i, row in enumerate(near, at):
+                    row = row[among[i - at]]
                     self.kept.offer(i, self.ids[i], block, row, (v[row] * self.v[i]).sum(axis=1))
 
         def best(self) -> tuple[list, list]:
