@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserql.llm import ann, exact_topk, mixing, packing
 from tesserql.llm.common import table
+from tesserql.llm.vectors import unpack
 
 from ..compare import connection, same
 from . import edges
@@ -63,6 +64,37 @@ def test_exact_topk_large_values(spark):
         assert got[q] == [(i, -x) for x, i in s]
 
 
+def skewed(n=20_000, dim=64, seed=4):
+    """Unit vectors around a few centres, half of them around one."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, dim))
+    v = centres[np.where(rng.random(n) < 0.5, 0, rng.integers(0, 12, n))] + rng.normal(size=(n, dim)) * 0.6
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_exact_topk_touches_less_than_all():
+    """Over three blocks: exact, and with fewer products than brute force has."""
+    v = skewed()
+    ids = np.arange(len(v))
+    cell = exact_topk.Cell({"ids": ids[:200], "v": v[:200]})
+    for at in range(0, len(v), 8192):
+        cell.add(unpack(exact_topk.build_index(ids[at : at + 8192], v[at : at + 8192])[0]))
+    whole = exact_topk.integers(v)
+    scores = whole[:200] @ whole.T
+    for q, (found, best) in enumerate(zip(*cell.best(), strict=True)):
+        s = scores[q].copy()
+        s[q] = -(2**60)
+        order = np.lexsort((ids, -s))[:5]
+        assert found == order.tolist() and best == s[order].tolist()
+    assert cell.touched < 200 * v.size
+
+
+def test_exact_topk_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, -5.0]), (1, [0.9, -5.0]), (2, [0.6, 0.0]), (50, [1e305, 1.0])]
+    got = by_query(exact_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0))
+    assert got[0] == [(50, 2**63 - 1), (1, 230 * 256), (2, 153 * 256)]
+
+
 def test_exact_topk_sql(spark, sf_dir):
     same(exact_topk.op3_exact_topk(spark, sf_dir), connection(sf_dir), exact_topk.OP3_SQL)
 
@@ -79,6 +111,28 @@ def test_nearest_recall_and_scores(spark):
             assert all(abs(s - float(np.dot(np.array(rows[q][1]), np.array(rows[i][1])))) < 1e-9 for i, s in found)
 
 
+def test_nearest_recall_where_few_are_reranked():
+    v = skewed(24_576)
+    ids = np.arange(len(v))
+    own = ann.Quantiser.fit(v[:4096])
+    cell = ann.cell_of({64: own.centres})({"ids": ids[:200], "v": v[:200]})
+    for at in range(0, len(v), 8192):
+        cell.add(unpack(ann.encode_block({64: own.centres}, {64: own.eta})(ids[at : at + 8192], v[at : at + 8192])[0]))
+    hit, scores = 0, v[:200] @ v.T
+    for q, found in enumerate(cell.best()[0]):
+        s = scores[q].copy()
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(found))
+    assert cell.reranked <= 0.02 * 200 * len(v)
+    assert hit >= 0.9 * 200 * 20
+
+
+def test_nearest_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, -5.0]), (1, [0.9, -5.0]), (2, [0.6, 0.0])]
+    got = by_query(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0))
+    assert got[0] == [(1, 0.9), (2, 0.6)]
+
+
 def test_nearest_recall_on_the_table(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, sf_dir, "embeddings").collect()]
     got = by_query(ann.op9_nearest(spark, sf_dir))
@@ -248,7 +302,8 @@ def test_packing_edges(spark):
 def test_plan_places_every_piece(seed):
     rng = np.random.default_rng(seed)
     counts = Counter(rng.integers(1, [200, 2049, 1100, 700, 30, 2049][seed], 5000).tolist())
-    plan = packing.plan(counts)
+    depth, plan = packing.plan(counts)
+    assert plan == packing._plan(counts, 2048, depth)
     placed = Counter()
     for lengths, m in plan:
         assert sum(lengths) <= 2048
@@ -260,6 +315,27 @@ def test_plan_places_every_piece(seed):
     assert least <= used <= best + 1
 
 
+def test_triples_fill_gaps_on_natural_lengths():
+    rng = np.random.default_rng(3)
+    counts = Counter(np.clip(np.exp(rng.normal(5.5, 1, 40_000)).astype(int), 1, 2048).tolist())
+    plan = packing._plan(counts, 2048, 3)
+    exact = [(lengths, m) for lengths, m in plan if sum(lengths) == 2048]
+    assert any(len(lengths) == 4 for lengths, _ in exact)
+    least = -(-sum(n * c for n, c in counts.items()) // 2048)
+    assert sum(m for _, m in packing.plan(counts)[1]) <= least * 1.001 + 1 and sum(m for _, m in exact) > 0.9 * least
+
+
+def test_packing_of_repeated_rows(spark):
+    rows = [(7, "same words " * 40)] * 300 + [(None, None)] * 5 + [(8, "x " * 5000)] * 3
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    places = Counter((r["sequence_id"], r["offset"]) for r in got)
+    assert max(places.values()) == 1 and Counter(r["doc_id"] for r in got)[7] == 300 and Counter(r["doc_id"] for r in got)[None] == 5
+    per = defaultdict(int)
+    for r in got:
+        per[r["sequence_id"]] += r["length"]
+    assert max(per.values()) <= 2048
+
+
 def test_token_ids_are_those_of_the_file(spark, sf_dir):
     from public_tokenizers import path
     from tokenizers import Tokenizer
