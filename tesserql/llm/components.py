@@ -28,7 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0]
-    for step in maps[1:]:
-        out = out.join(step.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
+    unstage(edges)
+    # From the last and smallest, so that each is written once more at its own size.
+    out = maps.pop()
+    while maps:
+        step = maps.pop()
+        names = out.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+        composed = stage(step.join(names, "root", "left").select("node", F.coalesce("_r", "root").alias("root")), "map")
+        unstage(step, out)
+        out = composed
     return out

@@ -4,7 +4,7 @@
    the maximum under each map, so half the evaluations). Documents with equal sets are one node from here on.
 2. Keys are range-partitioned with their nodes and sorted; a pass over each partition gives each bucket's members
    with its first node, the hub. A bucket that several partitions share has a hub in each, which are then tied to the first.
-3. All members that meet a hub form its group, cut by a hash into blocks of bounded size. A block is compared with itself on
+3. All members that meet a hub form its group, cut by a hash into blocks of about BLOCK shingles and MEMBERS documents at most. A block is compared with itself on
    whole sets, only between members that links don't connect yet, and reports at most as many links as members.
 4. Connected components of these links. Groups of more than one block then compare, across blocks, members outside their group's
    largest component with all members: pairs inside one component need no test. Then components again.
@@ -33,10 +33,14 @@ from .shingles import MinMax, common, shingle_set
 
 BANDS, ROWS = 60, 6
 PERCENT = 80
-#: Shingles that a block of a group holds, about; one document may be larger.
+#: Shingles that a block of a group holds, about (one document may be larger), and documents.
 BLOCK = 1 << 18
-#: Columns of the membership matrix at a time.
+MEMBERS = 2048
+#: Columns of the membership matrix at a time, and documents on either side.
 WIDE = 4096
+TILE = 1024
+#: Parts in which the members of a large group are dealt to their blocks.
+SALTS = 64
 
 
 def _sign(width: int, bands: int, rows: int):
@@ -108,6 +112,29 @@ def compare(left: list[int], right: list[int], sets: list[np.ndarray], forest: F
                     if 100 * both >= percent * (n[i] + n[j] - both) and forest.join(i, j):
                         found.append((i, j))
         return found
+    # By size, so that a tile meets only tiles of sizes that can be near.
+    left, right = sorted(left, key=n.__getitem__), sorted(right, key=n.__getitem__)
+    for x in (left[at : at + TILE] for at in range(0, len(left), TILE)):
+        for y in (right[at : at + TILE] for at in range(0, len(right), TILE)):
+            if 100 * n[x[-1]] < percent * n[y[0]] or 100 * n[y[-1]] < percent * n[x[0]] or len({forest.find(i) for i in (*x, *y)}) == 1:
+                continue
+            many = shared_counts(x, y, sets, n)
+            near = 100 * many >= percent * (n[x][:, None] + n[y][None, :] - many)
+            root = np.array([forest.find(j) for j in y])
+            for at in np.flatnonzero(near.any(axis=1)).tolist():
+                # One of each component that the row's document is near to.
+                js = np.flatnonzero(near[at])
+                for j in js[np.unique(root[js], return_index=True)[1]].tolist():
+                    own, other = forest.find(x[at]), forest.find(y[j])
+                    if own != other:
+                        forest.join(own, other)
+                        found.append((x[at], y[j]))
+                        root[(root == own) | (root == other)] = min(own, other)
+    return found
+
+
+def shared_counts(left: list[int], right: list[int], sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """How many members the sets of each pair share, by products of membership matrices over the shared values."""
     a, b = np.concatenate([sets[i] for i in left]), np.concatenate([sets[j] for j in right])
     shared = np.unique(a)
     shared = shared[np.isin(shared, b, kind="sort")]
@@ -124,17 +151,13 @@ def compare(left: list[int], right: list[int], sets: list[np.ndarray], forest: F
     (ra, ca), (rb, cb) = places(a, left), places(b, right)
     both = np.zeros((len(left), len(right)), dtype=np.float32)
     for at in range(0, len(shared), WIDE):
-        x, y = np.zeros((len(left), WIDE), dtype=np.float32), np.zeros((len(right), WIDE), dtype=np.float32)
+        wide = min(WIDE, len(shared) - at)
+        x, y = np.zeros((len(left), wide), dtype=np.float32), np.zeros((len(right), wide), dtype=np.float32)
         ka, kb = (ca >= at) & (ca < at + WIDE), (cb >= at) & (cb < at + WIDE)
         x[ra[ka], ca[ka] - at] = 1
         y[rb[kb], cb[kb] - at] = 1
         both += x @ y.T
-    many = both.astype(np.int64)
-    near = 100 * many >= percent * (n[left][:, None] + n[right][None, :] - many)
-    for i, j in zip(*np.nonzero(near), strict=True):
-        if left[i] != right[j] and forest.join(left[i], right[j]):
-            found.append((left[i], right[j]))
-    return found
+    return both.astype(np.int64)
 
 
 def _within(width: int, percent: int, names: tuple[str, ...]):
@@ -183,9 +206,12 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     pairs = stage(pairs.union(pairs.select("hub", F.col("hub").alias("node")).distinct()).distinct(), "pairs")
     unstage(met)
     sized = pairs.join(signed.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    groups = sized.groupBy("hub").agg(F.sum("n").alias("total"))
-    cut = groups.select("hub", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    placed = pairs.join(cut, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / MEMBERS)).cast("int")
+    large = sized.groupBy("hub").agg(blocks.alias("blocks")).where("blocks > 1")
+    # Only large groups are cut, and their members meet the cut in SALTS parts, so that no group's members meet in one task.
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.drop("salt").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int"))
     nodes = pairs.select(F.col("node").alias("_n")).distinct()
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_d"), "text").join(nodes.hint("shuffle_hash"), F.col("_d") == F.col("_n"), "left_semi")
     rows = stage(placed.join(texts, F.col("node") == F.col("_d")).select("hub", "blocks", "block", "node", "text"), "members")
@@ -205,18 +231,18 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     large = large.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("hub", "blocks", "block", "node", F.coalesce("root", "node").alias("comp"), "text")
     large = held = stage(large, "large")
     unstage(rows)
-    main = large.groupBy("hub", "comp").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    large = large.join(main, "hub")
-    others = large.where("comp <> main")
-    counts = stage(others.groupBy("hub").agg(F.count("*").alias("c"), F.max("blocks").alias("b")), "others")
-    # As many blocks of others as their share of the group's blocks, and at least one.
-    sizes = large.groupBy("hub").agg(F.count("*").alias("all")).join(counts, "hub").select("hub", F.ceil(F.col("c") * F.col("b") / F.col("all")).cast("int").alias("parts"))
-    left = others.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
+    sizes = large.groupBy("hub", "comp").agg(F.count("*").alias("c"), F.max("blocks").alias("blocks"))
+    groups = sizes.groupBy("hub").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.max("blocks").alias("blocks")).where("all > m.c")
+    # As many parts of the others as their share of the group's blocks, and at least one. A row a block, so that a group's rows don't meet in one task.
+    parts = F.ceil((F.col("all") - F.col("m.c")) * F.col("blocks") / F.col("all")).cast("int")
+    groups = stage(groups.select("hub", F.col("m.comp").alias("main"), parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "groups")
+    large = large.join(groups, ["hub", "block"])
+    left = large.where("comp <> main").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
     left = left.select("hub", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "comp", F.lit(0).alias("side"), "text")
-    right = large.join(sizes, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "comp", F.lit(1).alias("side"), "text")
+    right = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "comp", F.lit(1).alias("side"), "text")
     cells = left.union(right.select(left.columns)).repartition(n, "hub", "part", "block").sortWithinPartitions("hub", "part", "block", "side", "node")
     across = stage(cells.mapInArrow(_within(width, percent, ("hub", "part", "block")), "a long, b long"), "links")
-    unstage(held, counts)
+    unstage(held, groups)
     return first.union(across)
 
 
@@ -228,7 +254,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
     least = roots.groupBy("root").agg(F.min("node").alias("least"))
     named = roots.join(least, "root").select(F.col("node").alias("_n"), "least")
     reps = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")).select(F.col("digest").alias("_g"), "rep")
-    nodes = reps.join(named, F.col("rep") == F.col("_n"), "left").select("_g", F.coalesce("least", "rep").alias("component"))
+    # Written, so that the join with all rows shuffles both sides anew and rows of a digest that many documents have can be split.
+    nodes = stage(reps.join(named, F.col("rep") == F.col("_n"), "left").select("_g", F.coalesce("least", "rep").alias("component")), "nodes")
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(nodes, F.col("digest") == F.col("_g"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
