@@ -66,9 +66,10 @@ def salted(a: DataFrame, b: DataFrame, keys: list[str], salts: int) -> DataFrame
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
-def write_co_located(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """A table bucketed and sorted by its key: tables alike in both join without a shuffle."""
-    df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+def write_co_located(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A table bucketed and sorted by its key, in the warehouse or at a path: tables alike in both join, and group by the key, without a shuffle."""
+    writer = df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def hinted(order: list[tuple[DataFrame, str | None]], ons: list[Column]) -> DataFrame:

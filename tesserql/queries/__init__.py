@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functions, relational, shapes, sharding, statements
+from . import engine, functions, relational, shapes, sharding, statements
 
-QUERIES = functions.QUERIES | relational.QUERIES | sharding.QUERIES | shapes.QUERIES | statements.QUERIES
-ORACLE_SQL = functions.ORACLE_SQL | relational.ORACLE_SQL | sharding.ORACLE_SQL | shapes.ORACLE_SQL | statements.ORACLE_SQL
+QUERIES = functions.QUERIES | relational.QUERIES | sharding.QUERIES | shapes.QUERIES | statements.QUERIES | engine.QUERIES
+ORACLE_SQL = functions.ORACLE_SQL | relational.ORACLE_SQL | sharding.ORACLE_SQL | shapes.ORACLE_SQL | statements.ORACLE_SQL | engine.ORACLE_SQL

@@ -136,7 +136,7 @@ def join_global_broadcast(t):
 
 @query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")
 def join_co_located(t):
-    """Both sides are dealt by the order key once; tables written by write_co_located need no shuffle at all."""
+    """Both sides are dealt by the order key once; `join_bucketed` reads tables that need no shuffle at all."""
     return t("lineitem").select("l_orderkey", "l_quantity").join(t("orders").select("o_orderkey", "o_orderstatus"), col("l_orderkey") == col("o_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
@@ -279,6 +279,18 @@ def order_nulls_low(t):
     return relational.top(t("part").select("p_partkey", P.nullif(col("p_size"), 3).alias("s")), 60, col("s").asc(), col("p_partkey").desc())
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS s FROM customer ORDER BY upper(s), c_custkey LIMIT 400")
+def order_ignoring_case(t):
+    mixed = F.when(col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(col("c_mktsegment"))
+    return relational.top(t("customer").select("c_custkey", mixed.alias("s")), 400, relational.case_insensitive(col("s")), col("c_custkey"))
+
+
+@query("SELECT min(c_custkey) AS first, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def group_ignoring_case(t):
+    mixed = F.when(col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(col("c_mktsegment"))
+    return t("customer").groupBy(relational.case_insensitive(mixed)).agg(F.min("c_custkey").alias("first"), F.count("*").alias("n")).select("first", "n")
+
+
 @query("SELECT DISTINCT p_brand, p_type FROM part")
 def distinct_rows(t):
     return t("part").select("p_brand", "p_type").distinct()
