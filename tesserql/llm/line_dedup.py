@@ -160,8 +160,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(PACKED, b["doc_id"], b["tx"], b["n_lines"], pa.array(dropped, pa.int64()), maps)
 
 
-def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with what the bitmaps keep as text; n_lines and n_dropped follow the columns of docs."""
+def apply_keep(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """docs with what the bitmaps keep as text (a null one is empty then); the numbers of lines and of those dropped follow the columns of docs, under names that these don't have."""
     maps = bitmaps.select(F.col("doc_id").alias("_tq_d"), F.col("tx").alias("_tq_t"), F.col("n_lines").alias("_tq_n"), F.col("n_dropped").alias("_tq_x"), F.col("keep").alias("_tq_k"))
     on = docs["doc_id"].cast("long").eqNullSafe(maps["_tq_d"]) & (F.xxhash64(docs["text"]) == maps["_tq_t"])
     both = docs.join(maps.hint("shuffle_hash"), on, "left").drop("_tq_d", "_tq_t")
@@ -177,9 +177,9 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                     text = b"\n".join([line for line, bit in zip(lines, bits, strict=False) if bit])
                 texts.append((text or b"").decode("utf-8", "replace"))
             columns = [pa.array(texts, pa.string()) if c == "text" else b[c] for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, b["_tq_n"], b["_tq_x"]], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, b["_tq_n"], b["_tq_x"]], names=[*names, n_lines, n_dropped])
 
-    return both.mapInArrow(cut, f"{own}, n_lines long, n_dropped long")
+    return both.mapInArrow(cut, f"{own}, `{n_lines}` long, `{n_dropped}` long")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
