@@ -364,6 +364,59 @@ def test_mix_stage_keeps_the_order_of_the_mix(spark, sf_dir):
     assert seen and all(x == sorted(x) for x in seen.values())
 
 
+def test_stages_on_hard_rows(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, and nothing at all: each stage has its result, column for column."""
+    import corpus_pipeline
+
+    docs = edges.documents(spark).withColumn("shard", F.lit(1)).withColumn("_d", F.lit("x")).withColumn("score", F.lit(0.5)).withColumn("n_dropped", F.lit(3))
+    rows = {k: Counter(map(repr, step(spark, docs, sf_dir).collect())) for k, step in corpus_pipeline.STAGES}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, docs, sf_dir).dtypes == docs.dtypes
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.where("false"), sf_dir).count() == 0
+    own = Counter(map(repr, docs.collect()))
+    assert rows["quality classifier"] <= own
+    lined = corpus_pipeline.line_stage(spark, docs, sf_dir).collect()
+    assert len(lined) == docs.count() and not any(edges.COMMON in r["text"] for r in lined if r["doc_id"] and r["doc_id"] >= 100)
+    assert all(r["n_chars"] == len(r["text"]) for r in lined if r["doc_id"] and r["doc_id"] >= 100)
+    near = corpus_pipeline.near_stage(spark, docs, sf_dir).collect()
+    texts = Counter((r["doc_id"], r["text"]) for r in near)
+    assert max(texts.values()) == 1 and (None, "no id") in texts and (8, edges.LONG) not in texts and (7, edges.LONG) in texts
+    mixed = Counter(map(repr, corpus_pipeline.mix_stage(spark, docs, sf_dir).collect()))
+    assert set(mixed) <= set(own) and all(mixed[r] <= 3 * own[r] for r in mixed)
+    packed = corpus_pipeline.pack_stage(spark, docs, sf_dir).collect()
+    assert sum(r["piece"] == 0 for r in packed) == docs.count()
+
+
+def test_pipeline_against_its_parts_by_brute_force(spark, tmp_path):
+    """A small corpus whose stages can be followed by hand: junk goes, a line of ten documents goes, copies leave the first, the mix takes what sources' targets allow, and every taken copy is packed."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    good = [(i, "\n".join([" ".join(f"w{rng.integers(4000)}" for _ in range(30)) + "." for _ in range(3)]), f"s{i % 2}") for i in range(60)]
+    good = [(i, t + "\nThe same line stands here." if i < 12 else t, s) for i, t, s in good]
+    copies = [(100 + i, good[i][1], "s0") for i in (20, 21)]
+    junk = [(200 + i, "$$$ 0 0 0 " * 40, "s1") for i in range(40)]
+    rows = [(d, t, "en", s, len(t)) for d, t, s in good + copies + junk]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(d < 200), 0) for d, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, outs = table(spark, str(tmp_path), "documents"), []
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(step(spark, docs, str(tmp_path)).collect(), docs.schema)
+        outs.append(docs.collect())
+    assert {r["doc_id"] for r in outs[0]} == {d for d, *_ in rows if d < 200}
+    assert {r["doc_id"]: r["text"] for r in outs[1]} == {d: t.replace("\nThe same line stands here.", "") for d, t, *_ in rows if d < 200}
+    assert {r["doc_id"] for r in outs[2]} == set(range(60))
+    sizes = {r["doc_id"]: (r["source"], len(r["text"].split())) for r in outs[2]}
+    whole = [sum(n for s, n in sizes.values() if s == name) for name in ("s0", "s1")]
+    taken = Counter()
+    for r in outs[3]:
+        taken[r["source"]] += sizes[r["doc_id"]][1]
+    assert all(abs(taken[name] - t) <= 90 for name, t in zip(("s0", "s1"), plain_targets(whole), strict=True))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r["doc_id"] for r in outs[3])
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from tesserql.llm.common import stage
