@@ -15,7 +15,7 @@ from ..plans import dialect
 from ..plans import sharding as S
 from ..plans.engine import Engine
 from ..sources import files
-from ..sources.staging import shared_folder
+from ..sources.staging import shared_folder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,6 +56,15 @@ CHAIN = "SELECT c.c_custkey AS k, COUNT(*) AS n FROM region r JOIN nation n ON r
 same("sql_hint_reduced", CHAIN, "/*#plan=r & n & c & o*/ ")
 same("sql_hint_merged", CHAIN, "/*#plan=(r, n) | c | o*/ ")
 same("sql_hint_other_order", CHAIN, "/*#plan=o | c | n & r*/ ")
+statements("sql_hint_shards", "SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderkey % 1024) // 256 IN (1, 3) AND o_totalprice > 300000", "/*#shards=1,3*/ SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
+
+
+def always_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table of a chain reduced by the keys of one before it."""
+    return Engine(Catalog(spark, sf_dir, TABLES), always_reduce=True).execute(CHAIN)
+
+
+QUERIES["sql_always_reduce"], ORACLE_SQL["sql_always_reduce"] = always_reduce, CHAIN
 OUTER = "SELECT n.n_name, COUNT(s.s_suppkey) AS k FROM nation n {} JOIN supplier s ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name"
 same("sql_hint_outer", OUTER.format("LEFT"), "/*#plan=n | s*/ ")
 statements("sql_hint_left2inner", OUTER.format(""), "/*#plan=s | n $left2inner*/ " + OUTER.format("LEFT"))
@@ -122,6 +131,17 @@ QUERIES["sql_collation"] = collation
 ORACLE_SQL["sql_collation"] = "SELECT c_mktsegment AS seg, count(*) AS n, min(c_custkey) AS first FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_mktsegment > 'AUTOMOBILE' GROUP BY c_mktsegment"
 
 
+def temp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An intermediate result, written once and read twice."""
+    held = stage(Catalog(spark, sf_dir).table("lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("qty")), "totals")
+    most = held.agg(F.max("qty").alias("most"))
+    return held.join(F.broadcast(most), F.col("qty") > F.col("most") * 0.9).select("l_suppkey", "qty")
+
+
+QUERIES["temp_table"] = temp_table
+ORACLE_SQL["temp_table"] = "WITH h AS (SELECT l_suppkey, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY 1) SELECT l_suppkey, qty FROM h WHERE qty > (SELECT max(qty) FROM h) * 0.9"
+
+
 def _folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/tesserql/{tag}-{uuid.uuid4().hex}"
 
