@@ -199,8 +199,29 @@ def day(raw: str) -> str:
     return f"{'date' if len(unquoted(raw)) <= 10 else 'timestamp_ntz'}{raw}" if STRING.fullmatch(raw) and DAY.match(unquoted(raw)) else raw
 
 
-def times(f: Callable[..., Column], args: list[str]) -> str:
-    return sql_of(f(*(F.expr(day(a)) for a in args)))
+class Time(str):
+    """The SQL of a TIME: an interval, which functions of dates don't take."""
+
+
+def times(f: Callable[..., Column], args: list[str]) -> Time:
+    return Time(sql_of(f(*(F.expr(day(a)) for a in args))))
+
+
+def part(divisor: int, modulus: int | None) -> Callable[[str], str]:
+    def of(t: str) -> str:
+        n = F.call_function("div", F.abs(T.interval_seconds(F.expr(t))), F.lit(divisor).cast("long"))
+        return sql_of((n if modulus is None else n % modulus).cast("int"))
+
+    return of
+
+
+#: What these functions make of a TIME.
+OF_TIMES: dict[str, Callable[[str], str]] = {"TIME_TO_SEC": lambda t: sql_of(T.interval_seconds(F.expr(t))), "HOUR": part(3600, None), "MINUTE": part(60, 60), "SECOND": part(1, 60), "TIME": Time}
+
+
+def argument(ts: list) -> str:
+    """The text of an argument, still a TIME if it is one."""
+    return ts[0] if len(ts) == 1 and isinstance(ts[0], Time) else text(ts)
 
 
 def moved(what: str, amount: list, unit: str, back: bool) -> str:
@@ -304,7 +325,7 @@ WHOLE = r"'^\\s*([-+]?[0-9]+)'"
 def cast(value: str, kind: list) -> str:
     """CAST(value AS kind): MySQL's lenient conversions."""
     name, size = word(kind[0]), f"({text(kind[1])})" if len(kind) > 1 and isinstance(kind[1], list) else ""
-    s = f"cast({value} AS string)"
+    s = sql_of(T.time_text(F.expr(value))) if isinstance(value, Time) else f"cast({value} AS string)"
     if name in ("SIGNED", "UNSIGNED"):
         whole = f"CASE WHEN {value} IS NOT NULL THEN coalesce(try_cast(round(try_cast({s} AS decimal(38,10)), 0) AS bigint), try_cast(regexp_extract({s}, {WHOLE}, 1) AS bigint), 0) END"
         return whole if name == "SIGNED" else f"CASE WHEN ({whole}) < 0 THEN cast({whole} AS decimal(20,0)) + 18446744073709551616 ELSE cast({whole} AS decimal(20,0)) END"
@@ -318,7 +339,7 @@ def cast(value: str, kind: list) -> str:
         p, _, d = size[1:-1].partition(",")
         return sql_of(C.decimal(F.expr(value), int(p or 10), int(d or 0)))
     if name == "TIME":
-        return sql_of(C.time(F.expr(value)))
+        return value if isinstance(value, Time) else Time(sql_of(C.time(F.expr(value))))
     if name in ("DATE", "DOUBLE", "FLOAT", "JSON"):
         return s if name == "JSON" else f"try_cast({value} AS {name.lower()})"
     raise Unsupported(f"CAST AS {name}")
@@ -422,7 +443,7 @@ def rewrite(ts: list, parent: str = "") -> list:
             i = end - 1
         elif w == "CAST" and isinstance(after, list) and any(word(x) == "AS" for x in after):
             at = max(k for k, x in enumerate(after) if word(x) == "AS")
-            out.append(cast(text(after[:at]), after[at + 1 :]))
+            out.append(cast(argument(after[:at]), after[at + 1 :]))
             i += 1
         elif w == "CONVERT" and isinstance(after, list):
             parts = split(after)
@@ -430,7 +451,7 @@ def rewrite(ts: list, parent: str = "") -> list:
                 at = next(k for k, x in enumerate(after) if word(x) == "USING")
                 out.append(sql_of(C.convert_using(F.expr(text(after[:at])), after[at + 1].strip("'\""))))
             else:
-                out.append(cast(text(parts[0]), parts[1]))
+                out.append(cast(argument(parts[0]), parts[1]))
             i += 1
         elif t in ("||", "&&"):
             out.append("OR" if t == "||" else "AND")
@@ -474,7 +495,8 @@ def rewrite(ts: list, parent: str = "") -> list:
                 out.append(made)
                 i += 1
             elif w in FUNCTIONS and not any(word(x) in ("FROM", "DISTINCT") for x in after) and word(out[-1] if out else "") not in ("TABLE", "INTO"):
-                out.append(FUNCTIONS[w]([text(a) for a in split(after)]))
+                args = [argument(a) for a in split(after)]
+                out.append(OF_TIMES[w](args[0]) if args and isinstance(args[0], Time) and w in OF_TIMES else FUNCTIONS[w](args))
                 i += 1
             else:
                 out.append(t)

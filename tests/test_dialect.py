@@ -49,6 +49,7 @@ NAMED = [
     ("PERIOD_ADD(200801, 2)", 200803), ("PERIOD_DIFF(200802, 200703)", 11), ("SUBDATE('2008-01-02', 31)", "2007-12-02"), ("DATE_ADD('2008-01-31', INTERVAL 1 MONTH)", "2008-02-29"), ("ADDDATE('2008-01-02', INTERVAL 31 DAY)", "2008-02-02"),
     ("DATE '2024-01-31' + INTERVAL 1 MONTH", "2024-02-29"), ("'2024-03-31' - INTERVAL 1 MONTH", "2024-02-29"), ("DATE_SUB('2025-01-01 00:00:00', INTERVAL '1 1:1:1' DAY_SECOND)", "2024-12-30 22:58:59"),
     ("1 XOR 1", False), ("1 XOR 0", True), ("1 XOR 2", False), ("NULL XOR 1", None), ("IF('a', 1, 2)", 2), ("IF('1a', 1, 2)", 1), ("'1abc' + 1", 2), ("3 * '2.5x'", 7.5), ("'abc' = 0", True), ("CAST('10:11:12' AS TIME)", "10:11:12"), ("CAST('12.345x' AS DECIMAL(5,2))", 12.35),
+    ("TIME_TO_SEC(MAKETIME(12, 15, 30))", 44130), ("HOUR(SEC_TO_TIME(100000))", 27), ("MINUTE(TIMEDIFF('2000-01-01 10:00:00', '2000-01-01 12:30:00'))", 30), ("CAST(MAKETIME(1, 2, 3) AS CHAR)", "01:02:03"), ("SECOND(CAST('10:11:12' AS TIME))", 12),
     ("SOUNDEX('Quadratically')", "Q36324"), ("MAKE_SET(1 | 4, 'hello', 'nice', 'world')", "hello,world"), ("SUBSTRING_INDEX('www.mysql.com', '.', 2)", "www.mysql"), ("SUBSTRING_INDEX('www.mysql.com', '.', -2)", "mysql.com"), ("FIND_IN_SET('b', 'a,b,c,d')", 2),
     ("CONV('a', 16, 2)", "1010"), ("QUOTE('Don\\'t')", "'Don\\'t'"), ("CHAR(77, 121, 83)", "MyS"), ("INSERT('Quadratic', 3, 4, 'What')", "QuWhattic"), ("BIT_COUNT(29)", 4), ("TRIM(LEADING 'x' FROM 'xxxbarxxx')", "barxxx"), ("TRIM('  bar ')", "bar"),
     ("POSITION('bar' IN 'foobarbar')", 4), ("SUBSTRING('Sakila' FROM -4 FOR 2)", "ki"), ("EXTRACT(YEAR_MONTH FROM '2019-07-02 01:02:03')", 201907), ("TIMESTAMPDIFF(MONTH, '2003-02-01', '2003-05-01')", 3), ("GET_FORMAT(DATE, 'EUR')", "%d.%m.%Y"),

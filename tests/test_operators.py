@@ -148,6 +148,17 @@ def test_split_dump_of_hard_literals(spark, tmp_path):
             files.split_dump(spark, str(tmp_path / "b.sql")).collect()
 
 
+def test_jdbc_in_ranges(spark, tmp_path):
+    """A backend table, read by as many tasks as ranges: the filter goes to the backend."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("cast(id as int) AS K", "concat('v', id) AS V").write.jdbc(url, "T1", properties=driver)
+    df = files.jdbc(spark, url, "T1", "K", 0, 100, 4, **driver)
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100
+    few = df.where("K between 10 and 19")
+    assert "PushedFilters: [*IsNotNull(K), *GreaterThanOrEqual(K,10)" in few._jdf.queryExecution().executedPlan().toString() and sorted(r.V for r in few.collect()) == [f"v{i}" for i in range(10, 20)]
+
+
 def test_split_load(spark, tmp_path):
     from tesserql.plans import sharding as S
 
