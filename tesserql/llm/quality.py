@@ -14,16 +14,17 @@ as '' for the fold; an empty table gives an empty result; further columns are ig
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import raw_texts, table
+from .shingles import SPACE
 
 MAX_LABELLED = 20_000
 BINS = 32
@@ -55,13 +56,27 @@ for _k, _c in enumerate(CLASSES.values()):
     _CLASS[np.frombuffer(_c, dtype=np.uint8), _k] = 1
 
 
+_packers: list[zstandard.ZstdCompressor] = []
+
+
+def _packer() -> zstandard.ZstdCompressor:
+    """One per Python worker."""
+    if not _packers:
+        _packers.append(zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False))
+    return _packers[0]
+
+
 def features(text: bytes) -> list[float]:
     """Of a whole text; in the order of NAMES."""
-    n = len(text)
-    shares = (np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256) @ _CLASS / max(n, 1)).tolist()
+    n, data = len(text), np.frombuffer(text, dtype=np.uint8)
+    shares = (np.bincount(data, minlength=256) @ _CLASS / max(n, 1)).tolist()
     words = text.split()
     w = max(len(words), 1)
-    sizes = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+    gap = np.ones(n + 2, dtype=bool)
+    gap[1:-1] = SPACE[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+    first = data[starts]
     counts = Counter(words)
     top = [c for _, c in counts.most_common(2)] if len(counts) < 64 else sorted(counts.values())[:-3:-1]
     lines = [x for x in text.split(b"\n") if x]
@@ -79,9 +94,9 @@ def features(text: bytes) -> list[float]:
         math.log1p(n / m),
         1 - len(set(lines)) / m,
         sum(x[-1] in b".!?" for x in lines) / m,
-        sum(65 <= x[0] <= 90 for x in words) / w,
-        float((sizes == 1).sum()) / w,
-        len(zlib.compress(text, 1)) / max(n, 1),
+        int(np.count_nonzero((first >= 65) & (first <= 90))) / w,
+        int(np.count_nonzero(sizes == 1)) / w,
+        len(_packer().compress(text)) / max(n, 1),
     ]
 
 
