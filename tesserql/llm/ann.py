@@ -112,17 +112,18 @@ def cell_of(quantisers: dict[int, np.ndarray], k: int = K):
             self.kept = Best(len(self.ids), k, float)
             self.top = np.full((len(self.ids), RERANK), -np.inf, dtype=np.float32)
             self.reranked = 0
-            centres = quantisers[self.v.shape[1]]
-            tables = np.einsum("qmd,mkd->mkq", Quantiser.split(self.v), centres).astype(np.float32)
-            # Two codes of four bits a byte: the sum of their entries, for all queries.
-            self.tables = (tables[1::2, :, None] + tables[0::2, None]).reshape(len(tables) // 2, CENTRES * CENTRES, len(self.ids))
+
+        def tables(self) -> np.ndarray:
+            """Two codes of four bits a byte: the sum of their entries, for all queries. Made for each block, as the tables of a whole block of queries would not fit."""
+            pairs = np.einsum("qmd,mkd->mkq", Quantiser.split(self.v), quantisers[self.v.shape[1]]).astype(np.float32)
+            return (pairs[1::2, :, None] + pairs[0::2, None]).reshape(len(pairs) // 2, CENTRES * CENTRES, len(self.ids))
 
         def add(self, block: dict[str, np.ndarray]) -> None:
-            codes, v = block["codes"], block["v"]
+            codes, v, tables = block["codes"], block["v"], self.tables()
             sums = np.zeros((len(v), len(self.ids)), dtype=np.float32)
             for at in range(0, len(v), 512):
                 for m in range(codes.shape[1]):
-                    sums[at : at + 512] += self.tables[m][codes[at : at + 512, m]]
+                    sums[at : at + 512] += tables[m][codes[at : at + 512, m]]
             sums = sums.T
             for at in range(0, len(self.ids), 256):
                 part, top = np.ascontiguousarray(sums[at : at + 256]), self.top[at : at + 256]

@@ -1,7 +1,10 @@
 """Vectors in blocks: which take part, how rows become blocks, and how blocks meet blocks of queries.
 
 A search is a grid: blocks of queries by groups of index blocks. Each cell is one task that holds one block of
-queries and one index block at a time; a cell returns one row a query with its best members, and these rows are merged.
+queries, in slices, and one index block at a time; a cell returns one row a query with its best members, and these rows are merged.
+
+Where the queries are a fixed share of the vectors, as in the registered searches, products and the copies of the index that are shuffled grow with the square of the vectors, the copies divided by QUERY_ROWS: an index of
+n vectors and q queries moves n * q / QUERY_ROWS times the size of a vector's entry. That is the work asked for, all queries against all rows in blocks, and not made less here.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+QUERY_ROWS = 16384
+#: Queries that are compared with a block at once.
+SLICE = 2048
 
 
 def usable(column: str = "embedding") -> Column:
@@ -108,7 +113,7 @@ def grid(queries: DataFrame, n_queries: int, index: DataFrame, n_index: int, k:
 
     cell(queries) returns an object with add(block) and best(), the latter (vec_ids, scores) of each query, best first.
     """
-    spark = index.sparkSession
+    spark, size = index.sparkSession, SLICE
     rows = max(1, math.ceil(n_queries / QUERY_ROWS))
     columns = max(1, min(math.ceil(partitions(spark) / rows), math.ceil(n_index / 1024)))
     kind = {"long": pa.int64(), "double": pa.float64()}[score_type]
@@ -118,11 +123,11 @@ def grid(queries: DataFrame, n_queries: int, index: DataFrame, n_index: int, k:
     schema = pa.schema([("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, None, None
+        key, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held is not None:
-                found, scores = held.best()
+            for ids, part in held:
+                found, scores = part.best()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(kind))], schema=schema)
 
         for b in batches:
@@ -130,12 +135,14 @@ def grid(queries: DataFrame, n_queries: int, index: DataFrame, n_index: int, k:
                 at = tuple(b[c][i].as_py() for c in ("dim", "qb", "cg"))
                 if at != key:
                     yield from close()
-                    key, held = at, None
+                    key, held = at, []
                 block = unpack(b["payload"][i].as_py())
                 if b["block"][i].as_py() < 0:
-                    ids, held = block["ids"].tolist(), cell(block)
-                elif held is not None:
-                    held.add(block)
+                    parts = [{c: x[lo : lo + size] for c, x in block.items()} for lo in range(0, len(block["ids"]), size)]
+                    held = [(part["ids"].tolist(), cell(part)) for part in parts]
+                else:
+                    for _, part in held:
+                        part.add(block)
         yield from close()
 
     found = cells.mapInArrow(run, f"query_id long, vec_ids array<long>, scores array<{score_type}>")

@@ -54,6 +54,21 @@ def test_exact_topk(spark):
     assert 900 not in got
 
 
+def test_searches_in_slices_and_blocks(spark, monkeypatch):
+    """Queries in several blocks and slices, index in several blocks."""
+    rows, df = vectors(spark, n=1200)
+    for module in (ann, exact_topk):
+        monkeypatch.setattr(module, "BLOCK_ROWS", 130)
+        monkeypatch.setattr(module, "QUERY_ROWS", 25)
+    monkeypatch.setattr("tesserql.llm.vectors.QUERY_ROWS", 25)
+    monkeypatch.setattr("tesserql.llm.vectors.SLICE", 7)
+    whole = [*rows, (1205, [0.0] * 16, 0)]
+    got = by_query(exact_topk.search(df, F.col("vec_id") % 20 == 0))
+    assert {q: x for q, x in got.items() if q < 1200} == brute(whole, range(0, 1200, 20), 5, lambda v: np.floor(256 * v).astype(np.int64), True)
+    near, want = by_query(ann.search(df, F.col("vec_id") % 20 == 0)), brute(rows, range(0, 1200, 20), 20, lambda v: v, False)
+    assert sum(len({i for i, _ in near[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
 def test_exact_topk_large_values(spark):
     rows = [(i, [float(3.0**i), -1e12, 1e15 * (i % 3)]) for i in range(30)]
     got = by_query(exact_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0))
