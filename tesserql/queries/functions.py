@@ -269,5 +269,5 @@ agg("bit", "num", "t", "t", a=("s", lambda: A.bit_and(n()), "bit_and(n::HUGEINT)
 agg("bit_empty", "num", "t", "t", a=("s", lambda: A.bit_and(F.when(n() > 999, n())), "'18446744073709551615'"), b=("s", lambda: A.bit_or(F.when(n() > 999, n())), "'0'"))
 agg("group_concat", "num", "t", "t", a=("s", lambda: A.group_concat(n(), order=[(n(), True)]), "left(string_agg(n::VARCHAR, ',' ORDER BY n), 1024)"), b=("s", lambda: A.group_concat(n(), order=[(n(), False)], separator=";"), "left(string_agg(n::VARCHAR, ';' ORDER BY n DESC), 1024)"))
 agg("group_concat_distinct", "num", "t", "t", a=("s", lambda: A.group_concat(n(), "x", distinct=True), "left(string_agg(DISTINCT n::VARCHAR || 'x', ',' ORDER BY n::VARCHAR || 'x'), 1024)"))
-agg("any_value", "num", "t", "t", a=("b", lambda: F.array_contains(F.collect_set("n"), A.any_value(n())), "any_value(n) IN (SELECT p_size FROM part)"))
+agg("any_value", "num", "t", "t", a=("b", lambda: A.any_value(n()).isNull() | F.array_contains(F.collect_set("n"), A.any_value(n())), "any_value(n) IS NULL OR any_value(n) IN (SELECT p_size FROM part)"))
 agg("global", "num", "", "", a=("l", A.count, "count(*)"), b=("d", lambda: A.sum_(x()), "sum(x)"))
