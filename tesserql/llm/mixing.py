@@ -181,10 +181,11 @@ def emit(docs: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def in_order(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix, each shard's rows together and in the order of their places; a large shard is cut into ranges of places."""
-    n = max(partitions(mixed.sparkSession), shards)
-    cut = F.shiftright("mix_place", 48) * F.lit(-(-n // shards)) / F.lit(1 << 16)
-    return mixed.repartition(n, F.col("mix_shard"), F.floor(cut)).sortWithinPartitions("mix_shard", "mix_place")
+    """The mix, each shard's rows together and in the order of their places; a shard is cut into as many ranges of places as give the session's partitions, one partition each."""
+    per = -(-max(partitions(mixed.sparkSession), shards) // shards)
+    # Places are hashes, so ranges of the same width are equally full.
+    cut = F.floor((F.shiftright("mix_place", 48) + F.lit(1 << 15)) * F.lit(per) / F.lit(1 << 16))
+    return mixed.repartitionById(shards * per, (F.col("mix_shard") * per + cut).cast("int")).sortWithinPartitions("mix_shard", "mix_place")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

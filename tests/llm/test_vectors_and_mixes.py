@@ -269,6 +269,10 @@ def test_mix_shards_and_order(spark, sf_dir):
     for r in out:
         by_partition[r["p"]].append((r["mix_shard"], r["mix_place"]))
     assert all(x == sorted(x) for x in by_partition.values())
+    whole = [x for p in sorted(by_partition) for x in by_partition[p]]
+    assert whole == sorted(whole)
+    sizes = mixing.in_order(spark.range(20_000).select((F.col("id") % 16).cast("int").alias("mix_shard"), F.xxhash64("id").alias("mix_place"))).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 1.3 * 20_000 / 16
 
 
 # --- 10: packing ---------------------------------------------------------------------------------------------------
