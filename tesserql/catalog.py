@@ -48,10 +48,6 @@ class Catalog:
         found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
         return sorted(n.removesuffix(".parquet") for f in found if (n := f.getPath().getName()).endswith(".parquet"))
 
-    def __contains__(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def register(self, *names: str, collation: str | None = None) -> None:
         """Views of tables; with a collation such as UTF8_LCASE, texts compare, group, sort and join by it (no filter on them then reaches the scan)."""
         for name in names:

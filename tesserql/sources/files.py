@@ -61,7 +61,7 @@ def values_of(statement: str) -> tuple[str, list[list[str | None]]] | None:
 
 def balanced(text: str) -> bool:
     """Whether no literal or comment is open at the end of a text."""
-    return not re.sub(r"(?s)'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|/\*.*?\*/|--[ \t][^\n]*|[^'\"`/-]|[/-]", "", text)
+    return not re.sub(r"(?s)'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|/\*.*?\*/|--[ \t][^\n]*|[^'\"`/-]+|[/-]", "", text)
 
 
 def split_dump(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
